@@ -104,7 +104,7 @@ def merge_piece(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int
 
 
 class PairTable:
-    """The merges as arrays, found by an open hash of (left id, right id) with two probes."""
+    """The merges as arrays, found by an open hash of (left id, right id)."""
 
     def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
         self.keys = np.array([a << 20 | b for a, b in merges], np.int64)
@@ -112,18 +112,16 @@ class PairTable:
         self.made = np.array([i for _, i in merges.values()], np.int32)
         bits = max(10, (len(self.keys) * 32).bit_length())
         self.shift, self.factor = np.uint64(64 - bits), np.uint64(0x9E3779B97F4A7C15)
-        while True:
-            home = self._home(self.keys)
-            self.slot = np.full((1 << bits) + 1, -1, np.int32)
-            order = np.arange(len(self.keys), dtype=np.int32)
-            self.slot[home] = order
-            lost = order[self.slot[home] != order]
-            free = self.slot[home[lost] + 1] == -1
-            self.slot[home[lost[free]] + 1] = lost[free]
-            if free.all() and (self.slot[home[lost] + 1] == lost).all():
-                break
-            with np.errstate(over="ignore"):
-                self.factor = self.factor * np.uint64(6364136223846793005) + np.uint64(1442695040888963408)
+        self.slot = np.full((1 << bits) + len(self.keys), -1, np.int32)
+        self.probes = 1
+        taken: dict[int, int] = {}
+        for i, home in enumerate(self._home(self.keys).tolist()):
+            at = home
+            while at in taken:
+                at += 1
+            taken[at] = i
+            self.probes = max(self.probes, at - home + 1)
+        self.slot[list(taken)] = list(taken.values())
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -134,11 +132,12 @@ class PairTable:
         keys = a.astype(np.int64) << 20 | b
         home = self._home(keys)
         at = self.slot[home]
-        miss = self.keys[at] != keys
-        if miss.any():
-            at = np.where(miss, self.slot[home + 1], at)
-            at = np.where((at >= 0) & (self.keys[at] == keys), at, -1)
-        return np.where(at >= 0, at, -1)
+        for k in range(1, self.probes):
+            miss = np.flatnonzero((at >= 0) & (self.keys[at] != keys))
+            if not len(miss):
+                return at
+            at[miss] = self.slot[home[miss] + k]
+        return np.where((at >= 0) & (self.keys[at] == keys), at, -1)
 
 
 #: Pieces of up to so many symbols go through trees side by side, one row each.

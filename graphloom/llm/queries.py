@@ -14,6 +14,7 @@ from graphloom.llm.bpe import Vocabulary
 from graphloom.llm.decontam import find_hits, is_contaminated
 from graphloom.llm.line_dedup import dedup_lines
 from graphloom.llm.secret_scan import scan_secrets
+from graphloom.llm.token_counts import count_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return bpe_digests(docs, path or public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, path or public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, counts=True).select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("text_sha256"))
@@ -64,7 +70,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("secrets")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op4_line_dedup, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_token_counts, op4_line_dedup, op10_secrets)}
 
 ORACLE_SQL = {
     "op1_decontamination": r"""
