@@ -14,9 +14,11 @@ from graphloom.llm.bpe import Vocabulary
 from graphloom.llm.decontam import find_hits, is_contaminated
 from graphloom.llm.embed_dedup import near_dups
 from graphloom.llm.jaccard_join import near_classes
+from graphloom.llm.langid import fit_languages, identify
 from graphloom.llm.line_dedup import dedup_lines
 from graphloom.llm.quality import fit_quality, score_quality
 from graphloom.llm.secret_scan import scan_secrets
+from graphloom.llm.substring_dedup import repeated_passages
 from graphloom.llm.token_counts import count_tokens
 
 
@@ -79,6 +81,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    found = identify(docs.select("doc_id", "text"), fit_languages(docs))
+    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
@@ -87,7 +99,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("secrets")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_token_counts, op4_line_dedup, op5_embedding_dedup, op6_jaccard_join, op7_quality, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_token_counts, op4_line_dedup, op5_embedding_dedup, op6_jaccard_join, op7_quality, op8_language, op9_substring_dedup, op10_secrets)}
 
 ORACLE_SQL = {
     "op1_decontamination": r"""
