@@ -121,7 +121,37 @@ def watch_transitions(spark, d):
     return C.transitions(_t(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value >= 50.0").select("user_id", "event_id", "event")
 
 
-QUERIES = {f.__name__: f for f in (find_customers, find_residual, find_in_orders, keyset_page, offset_page, range_scan_timestamp, expand_out, expand_in, expand_both, top_orders, traverse_regions, traverse_compatriots, set_union, set_intersect, set_difference, order_degree, group_segments, cdc_fold, cdc_as_of, watch_transitions)}
+def batch_lookup(spark, d):
+    ids = _t(spark, d, "orders").select((F.col("o_orderkey") * 3).alias("id"), F.col("o_orderkey").alias("pos"))
+    return N.lookup(_t(spark, d, "customer").select("c_custkey", "c_name"), ids, "c_custkey")
+
+
+def orphan_edges(spark, d):
+    own = _edges(_t(spark, d, "orders"), "Customer", "o_custkey", "PLACED", "Order", "o_orderkey")
+    live = _t(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("src_id"))
+    return N.difference([own, live], ["src_id"]).select("src_id", "dst_id")
+
+
+def duplicate_values(spark, d):
+    """Values that break a unique constraint on a customer's nation and segment."""
+    return _t(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def document_frequency(spark, d):
+    c = _t(spark, d, "part").select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("p_brand", "p_type")])).alias("x"))
+    return c.groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
+
+
+def log_retention(spark, d):
+    events = _t(spark, d, "events").select("event_id", "ts")
+    return C.retain(events, "event_id", "ts", events.agg(F.min("ts")).first()[0], 100)
+
+
+def all_of_terms(spark, d):
+    return N.find(_t(spark, d, "documents").select("doc_id", "text"), "allofterms(text, 'the OF') && size(text) > 500", ["doc_id"], limit=None)
+
+
+QUERIES = {f.__name__: f for f in (find_customers, find_residual, find_in_orders, keyset_page, offset_page, range_scan_timestamp, expand_out, expand_in, expand_both, top_orders, traverse_regions, traverse_compatriots, set_union, set_intersect, set_difference, order_degree, group_segments, cdc_fold, cdc_as_of, watch_transitions, batch_lookup, orphan_edges, duplicate_values, document_frequency, log_retention, all_of_terms)}
 
 _RICH = "WITH c AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer), x AS (SELECT * FROM c WHERE c_acctbal > 3000), y AS (SELECT * FROM c WHERE c_nationkey < 10), z AS (SELECT * FROM c WHERE c_custkey % 2 = 0) "
 _NATIONS = "SELECT {0} AS src_type, {1} AS src_id, 'IN_NATION' AS label, {2} AS dst_type, {3} AS dst_id FROM {4}"
@@ -146,4 +176,10 @@ ORACLE_SQL = {
     "cdc_fold": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "cdc_as_of": "SELECT user_id, event_id, event_type, value FROM events WHERE event_id <= 500 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "watch_transitions": "WITH m AS (SELECT user_id, event_id, value >= 50 AS now, coalesce(lag(value >= 50) OVER (PARTITION BY user_id ORDER BY event_id), false) AS was FROM events) SELECT user_id, event_id, CASE WHEN now AND NOT was THEN 'ENTER' WHEN now THEN 'UPDATE' ELSE 'EXIT' END AS event FROM m WHERE now OR was",
+    "batch_lookup": "SELECT o_orderkey * 3 AS id, o_orderkey AS pos, c_custkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_orderkey * 3",
+    "orphan_edges": "SELECT o_custkey AS src_id, o_orderkey AS dst_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')",
+    "duplicate_values": "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL HAVING count(*) > 1",
+    "document_frequency": "SELECT 'p_brand' AS field, p_brand AS value, count(*) AS n FROM part GROUP BY ALL UNION ALL SELECT 'p_type', p_type, count(*) FROM part GROUP BY ALL",
+    "log_retention": "SELECT event_id, ts FROM events",
+    "all_of_terms": "SELECT doc_id FROM documents WHERE len(text) > 500 AND list_has_all(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), ['the', 'of'])",
 }
