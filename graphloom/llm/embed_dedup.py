@@ -67,7 +67,8 @@ def near_dups(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id", vec:
 
     schema = "label string, rep bigint, v array<double>, copies bigint, pivots array<int>"
     described = scratch.save(reps.select("label", "rep", "v", "copies").mapInArrow(assign, schema))
-    pairs = F.array(*[F.least(F.get("pivots", F.lit(i)), F.get("pivots", F.lit(j))) * 65536 + F.greatest(F.get("pivots", F.lit(i)), F.get("pivots", F.lit(j))) for i, j in combinations(range(reach), 2)])
+    at = [F.get("pivots", F.lit(i)) for i in range(reach)]
+    pairs = F.array(*[F.when(at[j].isNotNull(), F.least(at[i], at[j]) * 65536 + F.greatest(at[i], at[j])) for i, j in combinations(range(reach), 2)])
     keyed = described.select("label", "rep", F.explode(F.array_compact(pairs)).alias("key"))
     sizes = keyed.groupBy("label", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
     placed = keyed.join(sizes, ["label", "key"]).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
