@@ -4,6 +4,8 @@ Words are runs of non-white-space, A-Z lower-cased; a document's set holds its
 distinct five-word shingles as 64-bit hashes (all its words as one, if fewer).
 Documents with equal sets are one class. An inverted index over token ranges
 finds the shingles that two classes share; any other can't be in an overlap.
+Shingles that a sample of classes shows to be frequent are dealt by class, not
+by range, and count as shared, so no task gathers the owners of one.
 
 Under any one order of all tokens, two sets of similarity t share a token among
 the first n - ceil(t n) + 1 of each. Several orders are used (by rising
@@ -57,8 +59,40 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols]], names=["doc_id", "n", "f1", "f2"])
 
 
-def _postings(buckets: int):
-    """Batches of postings: for each token range, the tokens in order and their owners."""
+def _sample_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, x in shingle_sets(batch.column(1)):
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], names=["t"])
+
+
+def frequent_tokens(named: DataFrame, classes: DataFrame, sample: int, share: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted tokens, counts) of the at most ``most`` tokens that ``share`` of ``sample`` classes hold.
+
+    It only says which tokens are dealt by owner instead of by range, and their
+    place in the order by frequency; what it misses goes by range.
+    """
+    few = classes.orderBy(F.xxhash64("f1"), "f1").limit(sample).select(F.col("rep").alias("doc_id"))
+    rows = named.join(F.broadcast(few), "doc_id", "left_semi")
+    found = rows.mapInArrow(_sample_tokens, "t bigint").groupBy("t").agg(F.count("*").alias("k")).where(F.col("k") >= max(3, int(share * sample))).orderBy(F.desc("k"), "t").limit(most).toArrow()
+    t = found["t"].to_numpy().view(np.uint64)
+    order = np.argsort(t)
+    return t[order], found["k"].to_numpy()[order].astype(np.int32)
+
+
+def _at(heavy: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The index in ``heavy`` of each token, -1 for none."""
+    if not len(heavy):
+        return np.full(len(tokens), -1, np.int64)
+    at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
+    return np.where(heavy[at] == tokens, at, -1)
+
+
+def _postings(buckets: int, heavy: np.ndarray):
+    """Batches of postings: for each token range, the tokens in order and their owners.
+
+    Frequent tokens go to ``buckets`` further ranges, by owner, so that none is gathered.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,18 +105,39 @@ def _postings(buckets: int):
             owners = np.array(list(sets), np.int64)
             tokens = np.concatenate(list(sets.values()))
             own = np.repeat(np.arange(len(owners), dtype=np.uint32), [len(x) for x in sets.values()])
+            often = _at(heavy, tokens) >= 0
+            out = []
+            if often.any():
+                ht, ho = tokens[often], owners[own[often]]
+                salt = (scan.mix(ho.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(salt, kind="stable")
+                ht, ho, salt = ht[order], ho[order], salt[order]
+                edge = np.flatnonzero(np.concatenate([[True], salt[1:] != salt[:-1]])).tolist()
+                out = [(buckets + int(salt[i]), ht[i:j].tobytes(), ho[i:j].tobytes()) for i, j in zip(edge, [*edge[1:], len(ht)], strict=True)]
+                tokens, own = tokens[~often], own[~often]
             order = np.argsort(tokens)
             tokens, own = tokens[order], own[order]
             cuts = np.searchsorted(tokens, (np.arange(buckets + 1, dtype=object) * (1 << 64) // buckets)[1:-1].astype(np.uint64))
             cuts = [0, *cuts.tolist(), len(tokens)]
-            out = [(b, tokens[i:j].tobytes(), owners[own[i:j]].tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+            out += [(b, tokens[i:j].tobytes(), owners[own[i:j]].tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "tokens", "owners"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(f1, tokens, df) for the tokens of a range that two classes or more have."""
+def _shared(buckets: int, heavy: np.ndarray, counts: np.ndarray, classes: int):
+    """(f1, tokens, df) for the tokens of a range that two classes or more have.
+
+    The df of a frequent token is its count in the sample, put behind all others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _gather(batches, buckets, heavy, counts.astype(np.int64) + classes)
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch], buckets: int, heavy: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     now, toks, owns = None, [], []
 
     def close() -> Iterator[pa.RecordBatch]:
@@ -93,17 +148,20 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, o = t[order], o[order]
         first = np.concatenate([[True], (t[1:] != t[:-1]) | (o[1:] != o[:-1])])
         t, o = t[first], o[first]
-        new = np.concatenate([[True], t[1:] != t[:-1]])
-        group = np.cumsum(new) - 1
-        df = np.bincount(group)[group]
-        t, o, df = t[df > 1], o[df > 1], df[df > 1].astype(np.int32)
+        if now >= buckets:
+            df = counts[_at(heavy, t)]
+        else:
+            new = np.concatenate([[True], t[1:] != t[:-1]])
+            group = np.cumsum(new) - 1
+            df = np.bincount(group)[group]
+            t, o, df = t[df > 1], o[df > 1], df[df > 1]
         order = np.argsort(o, kind="stable")
         t, o, df = t[order].view(np.int64), o[order], df[order]
         cuts = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else np.empty(0, np.int64)
         lengths = np.diff(np.append(cuts, len(o)))
         for k in range(0, len(cuts), 5000):
             a, b = int(cuts[k]), int(cuts[k + 5000]) if k + 5000 < len(cuts) else len(o)
-            yield pa.RecordBatch.from_arrays([pa.array(o[cuts[k : k + 5000]]), scan.list_array(t[a:b], lengths[k : k + 5000], pa.int64()), scan.list_array(df[a:b], lengths[k : k + 5000], pa.int32())], names=["f1", "tokens", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array(o[cuts[k : k + 5000]]), scan.list_array(t[a:b], lengths[k : k + 5000], pa.int64()), scan.list_array(df[a:b], lengths[k : k + 5000], pa.int64())], names=["f1", "tokens", "df"])
 
     for batch in batches:
         for b, t, o in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -115,16 +173,17 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
-def near_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: str = "text", percent: int = 75, orders: int = 3, range_tokens: int = 3_000_000) -> DataFrame:
+def near_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: str = "text", percent: int = 75, orders: int = 3, range_tokens: int = 3_000_000, sample: int = 4000, share: float = 0.005, most: int = 100_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row."""
     spark = docs.sparkSession
     named = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     sized = scratch.save(named.mapInArrow(_sizes, "doc_id bigint, n bigint, f1 bigint, f2 bigint"))
     total = sized.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, int(total // range_tokens) + 1)
-    postings = named.mapInArrow(_postings(buckets), "bucket int, tokens binary, owners binary")
-    shared = postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "f1 bigint, tokens array<bigint>, df array<int>")
     classes = sized.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
+    heavy, counts = frequent_tokens(named, classes, sample, share, most)
+    postings = named.mapInArrow(_postings(buckets, heavy), "bucket int, tokens binary, owners binary")
+    shared = postings.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(buckets, heavy, counts, sized.count()), "f1 bigint, tokens array<bigint>, df array<bigint>")
     need = F.ceil(F.col("n") * percent / 100)
     pairs = F.arrays_zip(F.flatten(F.collect_list("df")).alias("df"), F.flatten(F.collect_list("tokens")).alias("t"))
     index = shared.groupBy("f1").agg(pairs.alias("r"))

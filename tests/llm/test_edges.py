@@ -55,6 +55,29 @@ def test_jaccard(spark, docs, none):
     assert near_classes(none, Scratch(spark)).count() == 0
 
 
+def test_jaccard_frequent_shingles(spark):
+    """Shingles dealt by class give the classes that shingles dealt by range give, and those of brute force."""
+    import random
+
+    rnd = random.Random(2)
+    common = " ".join(f"c{i}" for i in range(40))
+    rows, sets = [], {}
+    for i in range(120):
+        own = [f"w{rnd.randint(0, 10**6)}" for _ in range(rnd.choice([4, 12, 60]))] if i % 3 else rows[rnd.randrange(len(rows))][1].split()[40:] if rows else []
+        words = common.split() + own + ["end"] * (i % 2)
+        rows.append((i, " ".join(words)))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+    best = {i: i for i in sets}
+    for _ in range(8):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    best[a] = best[b] = min(best[a], best[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for share, sample in ((0.005, 40), (2.0, 40)):
+        assert {r.doc_id: r.component_id for r in near_classes(df, Scratch(spark), share=share, sample=sample).collect()} == best
+
+
 def test_embeddings(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, [1.0, 0.0], 2), (4, None, 1), (5, [0.0, 0.0], 1), (6, [float("nan"), 1.0], 1), (7, [1.0, 0.0], None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
