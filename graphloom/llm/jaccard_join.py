@@ -89,10 +89,11 @@ def _at(heavy: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 
 def _postings(buckets: int, heavy: np.ndarray):
-    """Batches of postings: for each token range, the tokens in order and their owners.
+    """Batches of postings: for each token range, the tokens by owner, the owners and how many tokens each has.
 
     Frequent tokens go to ``buckets`` further ranges, by owner, so that none is gathered.
     """
+    borders = np.array([i * (1 << 64) // buckets for i in range(1, buckets)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,23 +105,18 @@ def _postings(buckets: int, heavy: np.ndarray):
                 continue
             owners = np.array(list(sets), np.int64)
             tokens = np.concatenate(list(sets.values()))
-            own = np.repeat(np.arange(len(owners), dtype=np.uint32), [len(x) for x in sets.values()])
-            often = _at(heavy, tokens) >= 0
-            out = []
-            if often.any():
-                ht, ho = tokens[often], owners[own[often]]
-                salt = (scan.mix(ho.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(salt, kind="stable")
-                ht, ho, salt = ht[order], ho[order], salt[order]
-                edge = np.flatnonzero(np.concatenate([[True], salt[1:] != salt[:-1]])).tolist()
-                out = [(buckets + int(salt[i]), ht[i:j].tobytes(), ho[i:j].tobytes()) for i, j in zip(edge, [*edge[1:], len(ht)], strict=True)]
-                tokens, own = tokens[~often], own[~often]
-            order = np.argsort(tokens)
-            tokens, own = tokens[order], own[order]
-            cuts = np.searchsorted(tokens, (np.arange(buckets + 1, dtype=object) * (1 << 64) // buckets)[1:-1].astype(np.uint64))
-            cuts = [0, *cuts.tolist(), len(tokens)]
-            out += [(b, tokens[i:j].tobytes(), owners[own[i:j]].tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "tokens", "owners"])
+            own = np.repeat(np.arange(len(owners)), [len(x) for x in sets.values()])
+            salt = (scan.mix(owners.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            bucket = np.where(_at(heavy, tokens) >= 0, buckets + salt[own], np.searchsorted(borders, tokens, side="right"))
+            order = np.argsort(bucket, kind="stable")
+            bucket, tokens, own = bucket[order], tokens[order], own[order]
+            new = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+            run_at = np.flatnonzero(new | np.concatenate([[True], own[1:] != own[:-1]]))
+            run_owner, run_size = owners[own[run_at]], np.diff(np.append(run_at, len(own))).astype(np.uint32)
+            edge = np.flatnonzero(new)
+            ends, run_edge = np.append(edge[1:], len(own)), np.searchsorted(run_at, np.append(edge, len(own)))
+            out = [(int(bucket[i]), tokens[i:j].tobytes(), run_owner[x:y].tobytes(), run_size[x:y].tobytes()) for i, j, x, y in zip(edge.tolist(), ends.tolist(), run_edge[:-1].tolist(), run_edge[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "tokens", "owners", "sizes"])
 
     return run
 
@@ -164,12 +160,12 @@ def _gather(batches: Iterator[pa.RecordBatch], buckets: int, heavy: np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array(o[cuts[k : k + 5000]]), scan.list_array(t[a:b], lengths[k : k + 5000], pa.int64()), scan.list_array(df[a:b], lengths[k : k + 5000], pa.int64())], names=["f1", "tokens", "df"])
 
     for batch in batches:
-        for b, t, o in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for b, t, o, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if b != now:
                 yield from close()
                 now, toks, owns = b, [], []
             toks.append(np.frombuffer(t, np.uint64))
-            owns.append(np.frombuffer(o, np.int64))
+            owns.append(np.repeat(np.frombuffer(o, np.int64), np.frombuffer(n, np.uint32)))
     yield from close()
 
 
@@ -182,7 +178,7 @@ def near_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     buckets = max(8, int(total // range_tokens) + 1)
     classes = sized.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
     heavy, counts = frequent_tokens(named, classes, sample, share, most)
-    postings = named.mapInArrow(_postings(buckets, heavy), "bucket int, tokens binary, owners binary")
+    postings = named.mapInArrow(_postings(buckets, heavy), "bucket int, tokens binary, owners binary, sizes binary")
     shared = postings.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(buckets, heavy, counts, sized.count()), "f1 bigint, tokens array<bigint>, df array<bigint>")
     need = F.ceil(F.col("n") * percent / 100)
     pairs = F.arrays_zip(F.flatten(F.collect_list("df")).alias("df"), F.flatten(F.collect_list("tokens")).alias("t"))
