@@ -89,7 +89,7 @@ def _at(heavy: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 
 def _postings(buckets: int, heavy: np.ndarray):
-    """Batches of postings: for each token range, the tokens by owner, the owners and how many tokens each has.
+    """Batches of postings: for each token range, the tokens by owner, the owners, how many tokens each has there and in all.
 
     Frequent tokens go to ``buckets`` further ranges, by owner, so that none is gathered.
     """
@@ -113,63 +113,110 @@ def _postings(buckets: int, heavy: np.ndarray):
             new = np.concatenate([[True], bucket[1:] != bucket[:-1]])
             run_at = np.flatnonzero(new | np.concatenate([[True], own[1:] != own[:-1]]))
             run_owner, run_size = owners[own[run_at]], np.diff(np.append(run_at, len(own))).astype(np.uint32)
+            run_n = np.array([len(x) for x in sets.values()], np.uint32)[own[run_at]]
             edge = np.flatnonzero(new)
             ends, run_edge = np.append(edge[1:], len(own)), np.searchsorted(run_at, np.append(edge, len(own)))
-            out = [(int(bucket[i]), tokens[i:j].tobytes(), run_owner[x:y].tobytes(), run_size[x:y].tobytes()) for i, j, x, y in zip(edge.tolist(), ends.tolist(), run_edge[:-1].tolist(), run_edge[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "tokens", "owners", "sizes"])
+            out = [(int(bucket[i]), tokens[i:j].tobytes(), run_owner[x:y].tobytes(), run_size[x:y].tobytes(), run_n[x:y].tobytes()) for i, j, x, y in zip(edge.tolist(), ends.tolist(), run_edge[:-1].tolist(), run_edge[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "tokens", "owners", "sizes", "ns"])
 
     return run
 
 
+def _runs(x: np.ndarray) -> np.ndarray:
+    """The first index of each run of equal values."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(key, tokens, owner, size of the owner's set[, df]) of the rows of each key, which follow each other."""
+    now, held = None, []
+    for batch in batches:
+        for key, t, o, n, s, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != now:
+                if held:
+                    yield now, [np.concatenate(c) for c in zip(*held, strict=True)]
+                now, held = key, []
+            size = np.frombuffer(n, np.uint32)
+            held.append([np.frombuffer(t, np.uint64), np.repeat(np.frombuffer(o, np.int64), size), np.repeat(np.frombuffer(s, np.uint32), size), *[np.frombuffer(x, np.uint32) for x in more]])
+    if held:
+        yield now, [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
 def _shared(buckets: int, heavy: np.ndarray, counts: np.ndarray, classes: int):
-    """(f1, tokens, df) for the tokens of a range that two classes or more have.
+    """For each range of owners, the tokens of a token range that two classes or more have, with their df.
 
     The df of a frequent token is its count in the sample, put behind all others.
     """
+    last = np.minimum(counts.astype(np.int64) + classes, (1 << 32) - 1).astype(np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _gather(batches, buckets, heavy, counts.astype(np.int64) + classes)
+        for key, (t, o, n) in _by_key(batches):
+            order = np.lexsort((o, t))
+            t, o, n = t[order], o[order], n[order]
+            first = np.concatenate([[True], (t[1:] != t[:-1]) | (o[1:] != o[:-1])])
+            t, o, n = t[first], o[first], n[first]
+            if key >= buckets:
+                df = last[_at(heavy, t)]
+            else:
+                df = np.diff(np.append(at := _runs(t), len(t))).astype(np.uint32)
+                df = np.repeat(df, np.diff(np.append(at, len(t))))
+                t, o, n, df = t[df > 1], o[df > 1], n[df > 1], df[df > 1]
+            to = (scan.mix(o.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((o, to))
+            t, o, n, df, to = t[order], o[order], n[order], df[order], to[order]
+            edge = _runs(to)
+            for i, j in zip(edge.tolist(), np.append(edge[1:], len(to)).tolist(), strict=False):
+                at = _runs(o[i:j])
+                out = [int(to[i]), t[i:j].tobytes(), o[i:j][at].tobytes(), np.diff(np.append(at, j - i)).astype(np.uint32).tobytes(), n[i:j][at].tobytes(), df[i:j].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(out, (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["part", "tokens", "owners", "sizes", "ns", "dfs"])
 
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch], buckets: int, heavy: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    now, toks, owns = None, [], []
-
-    def close() -> Iterator[pa.RecordBatch]:
-        if not toks:
-            return
-        t, o = np.concatenate(toks), np.concatenate(owns)
-        order = np.lexsort((o, t))
-        t, o = t[order], o[order]
-        first = np.concatenate([[True], (t[1:] != t[:-1]) | (o[1:] != o[:-1])])
-        t, o = t[first], o[first]
-        if now >= buckets:
-            df = counts[_at(heavy, t)]
-        else:
-            new = np.concatenate([[True], t[1:] != t[:-1]])
-            group = np.cumsum(new) - 1
-            df = np.bincount(group)[group]
-            t, o, df = t[df > 1], o[df > 1], df[df > 1]
-        order = np.argsort(o, kind="stable")
-        t, o, df = t[order].view(np.int64), o[order], df[order]
-        cuts = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else np.empty(0, np.int64)
-        lengths = np.diff(np.append(cuts, len(o)))
-        for k in range(0, len(cuts), 5000):
-            a, b = int(cuts[k]), int(cuts[k + 5000]) if k + 5000 < len(cuts) else len(o)
-            yield pa.RecordBatch.from_arrays([pa.array(o[cuts[k : k + 5000]]), scan.list_array(t[a:b], lengths[k : k + 5000], pa.int64()), scan.list_array(df[a:b], lengths[k : k + 5000], pa.int64())], names=["f1", "tokens", "df"])
+#: Longs of a set's parity bitmap: sets that differ in d tokens differ in d of its bits at most.
+LONGS = 8
+STARS = 4
+
+
+def _indexed(percent: int, orders: int, step: int = 2000):
+    """For each class with enough shared tokens: them, its prefix under each order, keys of its stars, its typicality and its bitmap."""
+    schema = pa.schema([("f1", pa.int64()), ("n", pa.int64()), ("set", pa.list_(pa.int64())), *[(f"p{o}", pa.list_(pa.int64())) for o in range(orders)], *[(f"m{o}", pa.int64()) for o in range(STARS)], ("typical", pa.float64()), *[(f"w{i}", pa.int64()) for i in range(LONGS)]])
+
+    def made(t: np.ndarray, o: np.ndarray, n: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
+        at = _runs(o)
+        size = np.diff(np.append(at, len(o)))
+        who = np.repeat(np.arange(len(at)), size)
+        cut = size - -(-n[at].astype(np.int64) * percent // 100) + 1
+        rank = np.arange(len(o)) - at[who]
+        cols = [pa.array(o[at]), pa.array(n[at].astype(np.int64)), scan.list_array(t.view(np.int64), size, pa.int64())]
+        for k in range(orders):
+            order = np.lexsort((t, scan.mix(t + np.uint64(1 + k)), df, who))
+            cols.append(scan.list_array(t[order][rank < cut[who]].view(np.int64), cut, pa.int64()))
+        for k in range(STARS):
+            cols.append(pa.array(np.minimum.reduceat(scan.mix(t + np.uint64(101 + k)), at).view(np.int64)))
+        cols.append(pa.array(np.add.reduceat(df.astype(np.float64), at) / n[at]))
+        bit = who * (64 * LONGS) + (scan.mix(t + np.uint64(1001)) % np.uint64(64 * LONGS)).astype(np.int64)
+        odd = (np.bincount(bit, minlength=len(at) * 64 * LONGS) & 1).astype(np.uint8)
+        words = np.packbits(odd.reshape(-1, 8), axis=1).reshape(len(at), -1).copy().view(np.int64)
+        return pa.RecordBatch.from_arrays([*cols, *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(LONGS)]], schema=schema)
 
-    for batch in batches:
-        for b, t, o, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if b != now:
-                yield from close()
-                now, toks, owns = b, [], []
-            toks.append(np.frombuffer(t, np.uint64))
-            owns.append(np.repeat(np.frombuffer(o, np.int64), np.frombuffer(n, np.uint32)))
-    yield from close()
-
-
-def near_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: str = "text", percent: int = 75, orders: int = 3, range_tokens: int = 3_000_000, sample: int = 4000, share: float = 0.005, most: int = 100_000) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (t, o, n, df) in _by_key(batches):
+            order = np.lexsort((t, o))
+            t, o, n, df = t[order], o[order], n[order], df[order]
+            size = np.diff(np.append(at := _runs(o), len(o)))
+            live = np.repeat(size * 100 >= n[at].astype(np.int64) * percent, size)
+            t, o, n, df = t[live], o[live], n[live], df[live]
+            at = _runs(o)
+            for k in range(0, len(at), step):
+                i, j = int(at[k]), int(at[k + step]) if k + step < len(at) else len(o)
+                yield made(t[i:j], o[i:j], n[i:j], df[i:j])
+
+    columns = ["f1 bigint, n bigint, set array<bigint>", *[f"p{o} array<bigint>" for o in range(orders)], *[f"m{o} bigint" for o in range(STARS)], "typical double", *[f"w{i} bigint" for i in range(LONGS)]]
+    return run, ", ".join(columns)
+
+
+def near_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: str = "text", percent: int = 75, orders: int = 3, range_tokens: int = 4_000_000, sample: int = 4000, share: float = 0.005, most: int = 100_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row."""
     spark = docs.sparkSession
     named = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -178,16 +225,10 @@ def near_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     buckets = max(8, int(total // range_tokens) + 1)
     classes = sized.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
     heavy, counts = frequent_tokens(named, classes, sample, share, most)
-    postings = named.mapInArrow(_postings(buckets, heavy), "bucket int, tokens binary, owners binary, sizes binary")
-    shared = postings.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(buckets, heavy, counts, sized.count()), "f1 bigint, tokens array<bigint>, df array<bigint>")
-    need = F.ceil(F.col("n") * percent / 100)
-    pairs = F.arrays_zip(F.flatten(F.collect_list("df")).alias("df"), F.flatten(F.collect_list("tokens")).alias("t"))
-    index = shared.groupBy("f1").agg(pairs.alias("r"))
-    live = classes.join(index, "f1").where(F.size("r") >= need)
-    cut = (F.col("n") - need + 1 - (F.col("n") - F.size("r"))).cast("int")
-    seeded = lambda o: F.transform(F.slice(F.array_sort(F.transform("r", lambda x: F.struct(x["df"].alias("df"), F.xxhash64(x["t"], F.lit(o)).alias("h"), x["t"].alias("t")))), F.lit(1), cut), lambda x: x["t"])
-    least = lambda o: F.array_min(F.transform("r", lambda x: F.xxhash64(x["t"], F.lit(100 + o))))
-    live = scratch.save(live.select("rep", "n", F.transform("r", lambda x: x["t"]).alias("set"), *[seeded(o).alias(f"p{o}") for o in range(orders)], *[least(o).alias(f"m{o}") for o in range(3)]))
+    postings = named.mapInArrow(_postings(buckets, heavy), "bucket int, tokens binary, owners binary, sizes binary, ns binary")
+    shared = postings.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(buckets, heavy, counts, sized.count()), "part int, tokens binary, owners binary, sizes binary, ns binary, dfs binary")
+    indexed = shared.repartition(2 * buckets, "part").sortWithinPartitions("part").mapInArrow(*_indexed(percent, orders))
+    live = scratch.save(indexed.join(classes.select("f1", "rep"), "f1"))
     sets = live.select("rep", "n", "set")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -195,12 +236,17 @@ def near_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.join(b, "b").join(a, "a").where(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b")
 
-    heads = None
-    for o in range(3):
-        keyed = live.select(F.col(f"m{o}").alias("m"), F.col("rep").alias("b"))
-        star = keyed.join(keyed.groupBy("m").agg(F.min("b").alias("a"), F.count("*").alias("k")).where("k > 1"), "m").where("a <> b").select("a", "b")
-        heads = star if heads is None else heads.unionByName(star)
-    links = scratch.save(verified(heads.distinct()))
+    def stars(keys: range, known: DataFrame) -> DataFrame:
+        """Each class with the most typical class of those with its key, if that is of another component."""
+        out = None
+        for o in keys:
+            keyed = known.select(F.col(f"m{o}").alias("m"), "rep", "comp", "typical")
+            head = keyed.groupBy("m").agg(F.max(F.struct("typical", "rep", "comp")).alias("head"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+            star = keyed.join(head, "m").where("comp <> head.comp").select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b"))
+            out = star if out is None else out.unionByName(star)
+        return out.distinct()
+
+    links = scratch.save(verified(stars(range(STARS), live.withColumn("comp", F.col("rep")))))
     comp = components(links, scratch)
     known = live.join(comp, F.col("rep") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "rep"))
     found = None
