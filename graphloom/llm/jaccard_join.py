@@ -10,7 +10,8 @@ by range, and count as shared, so no task gathers the owners of one.
 Under any one order of all tokens, two sets of similarity t share a token among
 the first n - ceil(t n) + 1 of each. Several orders are used (by rising
 document frequency, ties by different hashes): a candidate must share a prefix
-token under each, and is then verified on the whole sets. Classes that first
+token under each (and have sizes and parity bitmaps that allow a link), and is
+then verified on the whole sets. Classes that first
 tests against their group's head have put into one component aren't compared
 with each other again, as only components are asked for; no link between
 components is lost.
@@ -249,14 +250,18 @@ def near_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     links = scratch.save(verified(stars(range(STARS), live.withColumn("comp", F.col("rep")))))
     comp = components(links, scratch)
     known = live.join(comp, F.col("rep") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "rep"))
+    words = [f"w{i}" for i in range(LONGS)]
+    known = known.withColumn("alone", F.col("n") - F.size("set"))
+    differ = sum(F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words)
+    close = (differ + F.col("aalone") + F.col("balone")) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
     found = None
     for o in range(orders):
-        post = scratch.save(known.select(F.explode(f"p{o}").alias("t"), "rep", "n", "comp"))
+        post = scratch.save(known.select(F.explode(f"p{o}").alias("t"), "rep", "n", "comp", "alone", *words))
         open_ = post.groupBy("t").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("t")
         post = post.join(open_, "t")
-        a, b = post.toDF("t", "a", "na", "ca"), post.toDF("t", "b", "nb", "cb")
+        a, b = post.toDF("t", "a", "na", "ca", "aalone", *[f"a{w}" for w in words]), post.toDF("t", "b", "nb", "cb", "balone", *[f"b{w}" for w in words])
         fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-        own = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
+        own = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits & close).select("a", "b").distinct()
         found = own if found is None else found.join(own, ["a", "b"], "left_semi")
     links = links.unionByName(verified(found))
     comp = components(links, scratch)
