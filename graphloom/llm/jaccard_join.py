@@ -89,36 +89,42 @@ def _at(heavy: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return np.where(heavy[at] == tokens, at, -1)
 
 
-def _postings(buckets: int, heavy: np.ndarray):
+def _postings(buckets: int, heavy: np.ndarray, flush: int = 600_000):
     """Batches of postings: for each token range, the tokens by owner, the owners, how many tokens each has there and in all.
 
     Frequent tokens go to ``buckets`` further ranges, by owner, so that none is gathered.
     """
     borders = np.array([i * (1 << 64) // buckets for i in range(1, buckets)], np.uint64)
 
+    def made(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+        owners = np.array(list(sets), np.int64)
+        tokens = np.concatenate(list(sets.values()))
+        own = np.repeat(np.arange(len(owners)), [len(x) for x in sets.values()])
+        salt = (scan.mix(owners.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        bucket = np.where(_at(heavy, tokens) >= 0, buckets + salt[own], np.searchsorted(borders, tokens, side="right"))
+        order = np.argsort(bucket, kind="stable")
+        bucket, tokens, own = bucket[order], tokens[order], own[order]
+        new = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+        run_at = np.flatnonzero(new | np.concatenate([[True], own[1:] != own[:-1]]))
+        run_owner, run_size = owners[own[run_at]], np.diff(np.append(run_at, len(own))).astype(np.uint32)
+        run_n = np.array([len(x) for x in sets.values()], np.uint32)[own[run_at]]
+        edge = np.flatnonzero(new)
+        ends, run_edge = np.append(edge[1:], len(own)), np.searchsorted(run_at, np.append(edge, len(own)))
+        out = [(int(bucket[i]), tokens[i:j].tobytes(), run_owner[x:y].tobytes(), run_size[x:y].tobytes(), run_n[x:y].tobytes()) for i, j, x, y in zip(edge.tolist(), ends.tolist(), run_edge[:-1].tolist(), run_edge[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "tokens", "owners", "sizes", "ns"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets: dict[int, np.ndarray] = {}
+            held = 0
             for _, x in shingle_sets(batch.column(1)):
-                if len(x):
-                    sets.setdefault(_print(x)[0], x)
-            if not sets:
-                continue
-            owners = np.array(list(sets), np.int64)
-            tokens = np.concatenate(list(sets.values()))
-            own = np.repeat(np.arange(len(owners)), [len(x) for x in sets.values()])
-            salt = (scan.mix(owners.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            bucket = np.where(_at(heavy, tokens) >= 0, buckets + salt[own], np.searchsorted(borders, tokens, side="right"))
-            order = np.argsort(bucket, kind="stable")
-            bucket, tokens, own = bucket[order], tokens[order], own[order]
-            new = np.concatenate([[True], bucket[1:] != bucket[:-1]])
-            run_at = np.flatnonzero(new | np.concatenate([[True], own[1:] != own[:-1]]))
-            run_owner, run_size = owners[own[run_at]], np.diff(np.append(run_at, len(own))).astype(np.uint32)
-            run_n = np.array([len(x) for x in sets.values()], np.uint32)[own[run_at]]
-            edge = np.flatnonzero(new)
-            ends, run_edge = np.append(edge[1:], len(own)), np.searchsorted(run_at, np.append(edge, len(own)))
-            out = [(int(bucket[i]), tokens[i:j].tobytes(), run_owner[x:y].tobytes(), run_size[x:y].tobytes(), run_n[x:y].tobytes()) for i, j, x, y in zip(edge.tolist(), ends.tolist(), run_edge[:-1].tolist(), run_edge[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "tokens", "owners", "sizes", "ns"])
+                if len(x) and sets.setdefault(_print(x)[0], x) is x:
+                    held += len(x)
+                if held >= flush:
+                    yield made(sets)
+                    sets, held = {}, 0
+            if sets:
+                yield made(sets)
 
     return run
 
@@ -217,7 +223,7 @@ def _indexed(percent: int, orders: int, step: int = 2000):
     return run, ", ".join(columns)
 
 
-def near_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: str = "text", percent: int = 75, orders: int = 3, range_tokens: int = 4_000_000, sample: int = 4000, share: float = 0.005, most: int = 100_000) -> DataFrame:
+def near_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: str = "text", percent: int = 75, orders: int = 3, range_tokens: int = 2_500_000, sample: int = 4000, share: float = 0.005, most: int = 100_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row."""
     spark = docs.sparkSession
     named = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
