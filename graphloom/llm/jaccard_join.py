@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import scan
@@ -182,6 +182,8 @@ def _shared(buckets: int, heavy: np.ndarray, counts: np.ndarray, classes: int):
 
 #: Longs of a set's parity bitmap: sets that differ in d tokens differ in d of its bits at most.
 LONGS = 8
+#: Smallest prefix tokens that a posting carries, so that most pairs are named at one token only.
+FEW = 32
 STARS = 4
 
 
@@ -254,20 +256,40 @@ def near_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
         return out.distinct()
 
     links = scratch.save(verified(stars(range(STARS), live.withColumn("comp", F.col("rep")))))
-    comp = components(links, scratch)
-    known = live.join(comp, F.col("rep") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "rep"))
     words = [f"w{i}" for i in range(LONGS)]
-    known = known.withColumn("alone", F.col("n") - F.size("set"))
-    differ = sum(F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words)
-    close = (differ + F.col("aalone") + F.col("balone")) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    fields = ["rep", "n", "comp", "alone", *words]
+
+    def placed() -> DataFrame:
+        """The live classes with the components of the links so far."""
+        out = live.join(components(links, scratch), F.col("rep") == F.col("id"), "left")
+        return out.withColumn("comp", F.coalesce("component", "rep")).withColumn("alone", F.col("n") - F.size("set"))
+
+    def open_posts(post: DataFrame) -> DataFrame:
+        """The postings of tokens that classes of several components have."""
+        return post.join(post.groupBy("t").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("t"), "t")
+
+    def may_link(a: str, b: str) -> Column:
+        """Whether two classes of different components can link, by sizes and bitmaps; never false for a link."""
+        at = lambda side, name: F.col(f"{side}.{name}")
+        fits = (at(a, "n") * 100 >= at(b, "n") * percent) & (at(b, "n") * 100 >= at(a, "n") * percent)
+        differ = sum((F.bit_count(at(a, w).bitwiseXOR(at(b, w))) for w in words), at(a, "alone") + at(b, "alone"))
+        return (at(a, "comp") != at(b, "comp")) & fits & (differ * (100 + percent) <= (at(a, "n") + at(b, "n")) * (100 - percent))
+
+    # each class with the most typical one of each prefix token, which leaves few pairs of different components
+    post = scratch.save(placed().select(F.explode("p0").alias("t"), "typical", *fields))
+    post = open_posts(post)
+    head = post.groupBy("t").agg(F.max(F.struct("typical", *fields)).alias("head"))
+    near = post.select("t", F.struct(*fields).alias("own")).join(head, "t").where(may_link("own", "head"))
+    more = verified(near.select(F.least("own.rep", "head.rep").alias("a"), F.greatest("own.rep", "head.rep").alias("b")).distinct())
+    links = scratch.save(links.unionByName(more))
+    known = placed()
     found = None
     for o in range(orders):
-        post = scratch.save(known.select(F.explode(f"p{o}").alias("t"), "rep", "n", "comp", "alone", *words))
-        open_ = post.groupBy("t").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("t")
-        post = post.join(open_, "t")
-        a, b = post.toDF("t", "a", "na", "ca", "aalone", *[f"a{w}" for w in words]), post.toDF("t", "b", "nb", "cb", "balone", *[f"b{w}" for w in words])
-        fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-        own = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits & close).select("a", "b").distinct()
+        few = F.slice(F.array_sort(f"p{o}"), 1, FEW).alias("few")
+        post = open_posts(scratch.save(known.select(F.explode(f"p{o}").alias("t"), few, *fields)))
+        told = F.coalesce(F.array_min(F.array_intersect("x.few", "y.few")) < F.col("t"), F.lit(False))  # at a smaller token
+        pair = post.alias("x").join(post.alias("y"), "t").where((F.col("x.rep") < F.col("y.rep")) & may_link("x", "y") & ~told)
+        own = pair.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
         found = own if found is None else found.join(own, ["a", "b"], "left_semi")
     links = links.unionByName(verified(found))
     comp = components(links, scratch)
