@@ -1,6 +1,8 @@
 """Embedding near-dedup with a pivot-permutation index.
 
-Reference vectors (pivots) are drawn from a bounded sample. Every vector is
+Reference vectors (pivots) are drawn from a bounded sample and kept apart: none
+has a cosine of ``apart`` or more with another, so a large group of near copies
+holds one pivot, not its share of them. Every vector is
 described by its ``near`` nearest pivots in order. Vectors whose lists share at
 least two pivots are candidates: the inverted lists are kept by pairs of
 pivots, so that sharing a list is sharing two. A candidate pair is verified, by
@@ -35,20 +37,33 @@ def _unit(rows: pa.Array) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1))[:, None]
 
 
-def near_dups(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id", vec: str = "embedding", label: str = "label", cosine: float = 0.98, pivots: int = 256, near: int = 7, sample: int = 20_000, chunk: int = 256) -> DataFrame:
+def _apart(rows: list, most: int, apart: float) -> np.ndarray:
+    """The first ``most`` of the vectors, in their order, that are no near copies of one taken before."""
+    m = np.array(rows, np.float64)
+    m /= np.sqrt((m * m).sum(1))[:, None]
+    free, taken = np.ones(len(m), bool), []
+    while free.any() and len(taken) < most:
+        taken.append(int(free.argmax()))
+        free &= m @ m[taken[-1]] < apart
+        free[taken[-1]] = False
+    return m[taken]
+
+
+def near_dups(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id", vec: str = "embedding", label: str = "label", cosine: float = 0.98, pivots: int = 256, near: int = 7, sample: int = 20_000, chunk: int = 256, apart: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row."""
     spark = vectors.sparkSession
     x = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("vec_id"), F.col(f"`{vec}`").cast("array<double>").alias("v"), F.col(f"`{label}`").cast("string").alias("label"))
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
     good = F.coalesce(finite, F.lit(False)) & F.exists("v", lambda e: e != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     reps = scratch.save(x.where(good).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    drawn = reps.select(F.size("v").alias("dim"), "v", F.xxhash64("v").alias("h")).orderBy("h").limit(sample).select("dim", "v").limit(pivots * 4).collect()
-    if not drawn:
+    drawn = reps.select(F.size("v").alias("dim"), "v", F.xxhash64("v").alias("h")).orderBy("h").limit(sample).select("dim", F.col("v").cast("array<float>").alias("v")).toArrow()
+    if not drawn.num_rows:
         return x.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    by_dim: dict[int, np.ndarray] = {}
-    for r in drawn:
-        by_dim.setdefault(r.dim, []).append(r.v)
-    by_dim = {d: (lambda m: m / np.sqrt((m * m).sum(1))[:, None])(np.array(rows[:pivots])) for d, rows in by_dim.items()}
+    dims = drawn.column("dim").to_numpy()
+    by_dim = {}
+    for d in np.unique(dims).tolist():
+        own = drawn.column("v").filter(pa.array(dims == d)).combine_chunks()
+        by_dim[d] = _apart(own.flatten().to_numpy().reshape(-1, d), pivots, apart)
     reach = max(2, near)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

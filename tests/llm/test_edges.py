@@ -86,6 +86,25 @@ def test_embeddings(spark):
     assert near_dups(df.limit(0), Scratch(spark)).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.1, 0.33])
+def test_embeddings_hot_group(spark, share):
+    """Links in a large group of near copies, against brute force."""
+    rnd = np.random.default_rng(5)
+    m = rnd.normal(size=(3000, 64))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    hot = int(share * len(m))
+    m[:hot] = m[-1] + 0.09 * m[:hot]
+    m = (m / np.linalg.norm(m, axis=1)[:, None]).astype(np.float32)
+    d = m.astype(np.float64)
+    d /= np.linalg.norm(d, axis=1)[:, None]
+    links = (d @ d.T >= 0.98).sum(1) - 1
+    assert links.sum() > hot * (hot - 1) * 0.95
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in near_dups(df, Scratch(spark)).collect()}
+    assert all(got[i] <= links[i] for i in got)
+    assert sum(got.values()) >= 0.95 * links.sum(), sum(got.values()) / links.sum()
+
+
 def test_passages_and_quality(spark, docs, none):
     assert repeated_passages(docs).count() == 0 and repeated_passages(none).count() == 0
     assert {round(r.score, 6) for r in score_quality(docs, Forest(0.0, [])).collect()} == {0.5}
