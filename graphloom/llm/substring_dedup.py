@@ -1,14 +1,17 @@
-"""Substring dedup by content-defined chunks.
-
-A gear rolling hash of the last 16 bytes ends a chunk wherever five of its bits
-are zero (32 bytes on average), so chunks find their borders again after an
-insertion. Chunks are known by a 128-bit digest. Consecutive chunks of a
-document whose digests occur in more than one document make a run; a run of
-``least`` bytes or more is a repeated passage. Its chunks are kept in the
-document with the smallest id that has them and count as removable elsewhere.
-
-Defined results: null or empty texts have no chunks; rows that share an id are
-one document; documents with a null id are left out.
+"""Exact substring dedup: every passage of ``least`` bytes that stands in two places.
+
+A window is ``least`` consecutive bytes of a text. Its anchor is the position of
+the smallest hash among its runs of 32 bytes (the leftmost, of equal ones), so
+equal windows have equal anchors at equal offsets, whatever surrounds them.
+Anchors whose hash occurs once in the corpus end the matter for their windows.
+Of the others, the bytes of their windows are gathered by the hash of the
+anchor, and all their windows are compared with each other. A passage is a
+maximal stretch of bytes that windows which occur more than once cover, so its
+borders are exact to the byte. The occurrence of a window with the smallest
+document id (and offset) is kept; the others are removable.
+
+Defined results: null or empty texts have no windows; rows that repeat both id
+and text are one document; documents with a null id are left out.
 """
 
 from __future__ import annotations
@@ -22,64 +25,170 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import scan
 
-_REACH = 16
-_GEAR = (scan.mix(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint32)
+_RUN = 32
+_BYTE = scan.mix(np.arange(1, 257, dtype=np.uint64))
+_ODD = scan.mix(np.arange(301, 306, dtype=np.uint64)) | np.uint64(1)
+_LOW = np.uint64(0xFFFFFFFF)
+#: Bytes gathered before a part of the anchors is compared.
+_PART = 1 << 20
+
+
+def anchors(s: scan.Slice, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window, last window) of each anchor of a slice, in order; windows by their first byte."""
+    n, run = len(s.data), min(_RUN, 1 << (least.bit_length() - 1))
+    if n < least:
+        empty = np.empty(0, np.int64)
+        return empty, empty, empty
+    with np.errstate(over="ignore"):
+        h, size = _BYTE[s.data], 1
+        for odd in _ODD[: run.bit_length() - 1]:
+            h = h[:-size] * odd + h[size:]
+            size *= 2
+        h = scan.mix(h)
+    low, size, wide = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64), 1, least - run + 1
+    while size * 2 <= wide:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    if wide > size:
+        low = np.minimum(low[: size - wide], low[wide - size :])
+    ends = np.repeat(s.bounds[1:], np.diff(s.bounds))
+    at = np.flatnonzero(np.arange(len(low)) + least <= ends[: len(low)])
+    if not len(at):
+        return at, at, at
+    q = (low[at] & _LOW).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+    return h[q[new]].view(np.int64), at[new], at[np.concatenate([new[1:], [len(at)]]) - 1]
+
+
+def _hashes(least: int):
+    """(row, h) -> one row for each hash among the anchors of a text, and how often it has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, s in scan.slices(batch.column(1)):
+                h, at, _ = anchors(s, least)
+                if not len(h):
+                    continue
+                doc = np.searchsorted(s.bounds, at, side="right") - 1
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + doc[new])), pa.array(h[new]), pa.array(np.diff(np.append(new, len(h))).astype(np.int32))], names=["row", "h", "n"])
 
+    return run
 
-def chunk_ends(s: scan.Slice, bits: int = 5) -> np.ndarray:
-    """Ends of all chunks of a slice, the ends of its texts among them."""
-    n = len(s.data)
-    g = _GEAR[s.data]
-    h = np.zeros(n, np.uint32)
-    for k in range(_REACH):
-        h[k:] += g[: n - k] << np.uint32(k) if k else g
-    mask = np.uint32(((1 << bits) - 1) << (_REACH - bits))
-    at = np.flatnonzero((h & mask) == 0) + 1
-    doc = np.searchsorted(s.bounds, at - 1, side="right") - 1
-    at = at[at - s.bounds[doc] >= _REACH]
-    filled = s.bounds[1:][np.diff(s.bounds) > 0]
-    return np.union1d(at, filled)
 
+def _contexts(least: int):
+    """The bytes of the windows of each anchor whose hash is in the list of its text."""
 
-def chunks(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, s in scan.slices(batch.column(1)):
-                if not len(s.data):
+            wanted = batch.column(3)
+            for first, s in scan.slices(batch.column(2)):
+                h, at, last = anchors(s, least)
+                if not len(h):
+                    continue
+                doc = np.searchsorted(s.bounds, at, side="right") - 1
+                cut = np.searchsorted(doc, np.arange(len(s) + 1))
+                own = np.concatenate([np.isin(h[a:b], wanted[first + i].values.to_numpy()) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))])
+                h, at, last, doc = h[own], at[own], last[own], doc[own]
+                if not len(h):
                     continue
-                ends = chunk_ends(s)
-                starts = np.concatenate([[0], ends[:-1]])
-                doc = np.searchsorted(s.bounds, starts, side="right") - 1
-                h = [scan.span_hashes(s.data, starts, ends, k).view(np.int64) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + doc)), pa.array((starts - s.bounds[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(h[0]), pa.array(h[1])], names=["doc_id", "at", "size", "h1", "h2"])
+                body = s.data.tobytes()
+                parts = [body[a:b] for a, b in zip(at.tolist(), (last + least).tolist(), strict=True)]
+                rows = pa.array(first + doc)
+                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at - s.bounds[doc]).astype(np.int32)), pa.array(parts, pa.binary())], names=["h", "doc_id", "row", "at", "body"])
+
+    return run
+
+
+def _compare(least: int):
+    """Stretches of windows that occur more than once; ``later`` where an earlier occurrence is kept."""
+    names = ["doc_id", "row", "first", "last", "later"]
+
+    def close(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        keys = [t.column(k).to_numpy() for k in ("h", "doc_id", "row", "at")]
+        t = t.filter(pa.array(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])))
+        # Equal bodies are hashed once; the dictionary has them in the order of their first rows.
+        coded = pa.concat_arrays(t.column("body").chunks).dictionary_encode()
+        code, body = coded.indices.to_numpy(), coded.dictionary
+        _, head, copies = np.unique(code, return_index=True, return_counts=True)
+        offs = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
+        data = np.frombuffer(body.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+        offs = offs - offs[0]
+        many = np.diff(offs) - least + 1
+        own = np.repeat(np.arange(len(many)), many)
+        inner = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+        p = offs[own] + inner
+        _, one, which = np.unique(scan.span_hashes(data, p, p + least), return_index=True, return_inverse=True)
+        n = np.bincount(which, weights=copies[own])
+        state = (n[which] > 1) * np.where(one[which] == np.arange(len(p)), 1, 2)
+        new = np.flatnonzero(np.concatenate([[True], (state[1:] != state[:-1]) | (own[1:] != own[:-1])]))
+        end = np.append(new[1:], len(p)) - 1
+        end, new = end[state[new] > 0], new[state[new] > 0]
+        again = np.setdiff1d(np.arange(len(code)), head)
+        rows = np.concatenate([head[own[new]], again])
+        first = np.concatenate([inner[new], np.zeros(len(again), np.int64)])
+        last = np.concatenate([inner[end], many[code[again]] - 1])
+        later = np.concatenate([state[new] == 2, np.ones(len(again), bool)])
+        at = t.column("at").to_numpy()[rows].astype(np.int64)
+        cols = [t.column("doc_id").take(pa.array(rows)), t.column("row").take(pa.array(rows)), *[pa.chunked_array([pa.array(x)]) for x in (at + first, at + last, later)]]
+        yield from pa.Table.from_arrays(cols, names=names).to_batches()
 
-    named = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id is not null")
-    return named.mapInArrow(run, "doc_id bigint, at int, size int, h1 bigint, h2 bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column(0).to_numpy()
+            if size >= _PART:
+                # Only whole anchors are compared: what has the hash of the last row held is still of that part.
+                same = int(np.searchsorted(h != held[-1].column(0)[-1].as_py(), True))
+                if same < len(h):
+                    yield from close([*held, batch.slice(0, same)])
+                    held, size, batch = [], 0, batch.slice(same)
+            held.append(batch)
+            size += batch.nbytes
+        if held:
+            yield from close(held)
+
+    return run
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 120) -> DataFrame:
     """(doc_id, n_passages, n_bytes, n_removable, spans) of the documents that have repeated passages; spans are byte offsets."""
-    all_ = chunks(docs, id_col, text)
-    often = all_.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    hits = all_.join(often, ["h1", "h2"]).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "size", (F.col("first") < F.col("doc_id")).alias("later")))).alias("c"))
+    named = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id is not null")
+    named = named.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    hashes = named.select("row", "text").mapInArrow(_hashes(least), "row bigint, h bigint, n int")
+    often = hashes.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    wanted = hashes.select("row", "h").join(often, "h").groupBy("row").agg(F.collect_set("h").alias("wanted"))
+    found = named.join(wanted, "row").select("doc_id", "row", "text", "wanted").mapInArrow(_contexts(least), "h bigint, doc_id bigint, row bigint, at int, body binary")
+    dealt = found.repartition("h").sortWithinPartitions("h", "doc_id", "row", "at")
+    spans = dealt.mapInArrow(_compare(least), "doc_id bigint, row bigint, first bigint, last bigint, later boolean")
+    own = spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("first", "last", "later"))).alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                spans: list[list[int]] = []
-                for x in own:
-                    gone = x["size"] * x["later"]
-                    if spans and spans[-1][1] == x["at"]:
-                        spans[-1][1] += x["size"]
-                        spans[-1][2] += gone
-                    else:
-                        spans.append([x["at"], x["at"] + x["size"], gone])
-                if spans := [x for x in spans if x[1] - x[0] >= least]:
-                    out.append((doc, len(spans), sum(b - a for a, b, _ in spans), sum(x[2] for x in spans), [{"start": a, "end": b} for a, b, _ in spans]))
+            for doc, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                all_ = _union([(x["first"], x["last"] + least) for x in found])
+                gone = _union([(x["first"], x["last"] + least) for x in found if x["later"]])
+                out.append((doc, len(all_), sum(b - a for a, b in all_), sum(b - a for a, b in gone), [{"start": a, "end": b} for a, b in all_]))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             kinds = [pa.int64()] * 4 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             names = ["doc_id", "n_passages", "n_bytes", "n_removable", "spans"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return hits.mapInArrow(run, "doc_id bigint, n_passages bigint, n_bytes bigint, n_removable bigint, spans array<struct<start: bigint, end: bigint>>")
+    return own.select("doc_id", "c").mapInArrow(run, "doc_id bigint, n_passages bigint, n_bytes bigint, n_removable bigint, spans array<struct<start: bigint, end: bigint>>")

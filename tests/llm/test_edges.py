@@ -109,3 +109,38 @@ def test_passages_and_quality(spark, docs, none):
     assert repeated_passages(docs).count() == 0 and repeated_passages(none).count() == 0
     assert {round(r.score, 6) for r in score_quality(docs, Forest(0.0, [])).collect()} == {0.5}
     assert fit_forest(np.zeros((0, N_FEATURES)), np.zeros(0)).trees == []
+
+
+def _covered(rows, least):
+    """(doc_id -> bytes in windows that occur twice, bytes in windows that occur earlier too), by brute force."""
+    seen, out = {}, {}
+    for doc, text in sorted(rows):
+        for p in range(len(text.encode()) - least + 1):
+            seen.setdefault(text.encode()[p : p + least], []).append((doc, p))
+    for places in seen.values():
+        for k, (doc, p) in enumerate(places if len(places) > 1 else []):
+            every, gone = out.setdefault(doc, (set(), set()))
+            every.update(range(p, p + least))
+            gone.update(range(p, p + least) if k else ())
+    return out
+
+
+def test_passages_brute_force(spark):
+    """Passages of 51 words and around the threshold, copies, and texts of few distinct words, byte for byte."""
+    import random
+
+    rnd = random.Random(4)
+    words = lambda n, of=10**6: " ".join(f"w{rnd.randint(0, of)}" for _ in range(n))
+    rows = []
+    for i in range(60):
+        shared = words(51) if i % 3 else words(rnd.randint(13, 18))
+        if i % 5 == 0:
+            shared = " ".join(["ab", "é"] * rnd.randint(20, 60))
+        rows += [(2 * i, f"{words(30)} {shared} {words(20)}"), (2 * i + 1, f"{words(9)} {shared}{words(40)}")]
+    rows += [(200, rows[7][1]), (201, rows[7][1]), (202, "a" * 400), (203, "x" + "a" * 121), (204, "b" * 119), (205, "c" * 120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _covered(rows, 120)
+    assert len(want) > 90
+    got = {r.doc_id: r for r in repeated_passages(df).collect()}
+    assert {d: {p for x in r.spans for p in range(x.start, x.end)} for d, r in got.items()} == {d: w[0] for d, w in want.items()}
+    assert {d: r.n_removable for d, r in got.items()} == {d: len(w[1]) for d, w in want.items()}
