@@ -33,7 +33,7 @@ def graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def find_customers(spark, d):
-    return N.find(_t(spark, d, "customer"), "c_acctbal >= 5000.0 && c_mktsegment == 'BUILDING'", ["c_custkey", "c_name", "c_acctbal"], order=["c_custkey"])
+    return N.find(_t(spark, d, "customer"), "c_acctbal >= 5000.0 && c_mktsegment == 'BUILDING'", ["c_custkey", "c_name", "c_acctbal"], limit=None).orderBy("c_custkey")
 
 
 def find_residual(spark, d):

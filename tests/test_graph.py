@@ -27,3 +27,9 @@ def test_cel_errors(spark):
         compile_cel("id >=", schema)
     with pytest.raises(CelTypeError):
         compile_cel("id + 1", schema)
+
+
+def test_find_customers_is_whole(spark, tmp_path):
+    """More rows than a page holds, in id order."""
+    spark.range(1500).selectExpr("id AS c_custkey", "concat('c', id) AS c_name", "6000.0D AS c_acctbal", "'BUILDING' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    assert [r.c_custkey for r in G.find_customers(spark, str(tmp_path)).collect()] == list(range(1500))
