@@ -84,6 +84,18 @@ def traverse_compatriots(spark, d):
     return E.traverse(start, graph(spark, d), [{"labels": ["IN_NATION"]}, {"labels": ["IN_NATION"], "direction": "IN", "node_filter": "c_acctbal > 0.0"}], {"Customer": (_t(spark, d, "customer"), "c_custkey")})
 
 
+def _rich_customers(spark, d):
+    return _t(spark, d, "customer").where("c_acctbal > 9000 AND c_mktsegment <> 'BUILDING'").select(F.lit("Customer").alias("node_type"), F.col("c_custkey").alias("node_id"))
+
+
+def traverse_regions_by_value(spark, d):
+    return E.traverse(_rich_customers(spark, d), graph(spark, d), [{"labels": ["IN_NATION"]}, {"labels": ["IN_REGION"]}])
+
+
+def traverse_compatriots_by_value(spark, d):
+    return E.traverse(_rich_customers(spark, d), graph(spark, d), [{"labels": ["IN_NATION"]}, {"labels": ["IN_NATION"], "direction": "IN", "node_filter": "c_acctbal > 0.0"}], {"Customer": (_t(spark, d, "customer"), "c_custkey")})
+
+
 def _rich(spark, d):
     c = _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     return c.where("c_acctbal > 3000"), c.where("c_nationkey < 10"), c.where("c_custkey % 2 = 0")
@@ -101,6 +113,23 @@ def set_difference(spark, d):
     return N.difference(list(_rich(spark, d)), ["c_custkey"])
 
 
+def _by_value(spark, d):
+    c = _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    return [x.drop("c_mktsegment") for x in (c.where("c_acctbal > 3000"), c.where("c_nationkey < 10"), c.where("c_mktsegment IN ('BUILDING', 'MACHINERY')"))]
+
+
+def set_union_by_value(spark, d):
+    return N.union(_by_value(spark, d), ["c_custkey"])
+
+
+def set_intersect_by_value(spark, d):
+    return N.intersect(_by_value(spark, d), ["c_custkey"])
+
+
+def set_difference_by_value(spark, d):
+    return N.difference(_by_value(spark, d), ["c_custkey"])
+
+
 def order_degree(spark, d):
     return E.degree(_t(spark, d, "customer").select("c_custkey"), "c_custkey", E.oriented(graph(spark, d), "OUT", ["PLACED"]))
 
@@ -151,9 +180,11 @@ def all_of_terms(spark, d):
     return N.find(_t(spark, d, "documents").select("doc_id", "text"), "allofterms(text, 'the OF') && size(text) > 500", ["doc_id"], limit=None)
 
 
-QUERIES = {f.__name__: f for f in (find_customers, find_residual, find_in_orders, keyset_page, offset_page, range_scan_timestamp, expand_out, expand_in, expand_both, top_orders, traverse_regions, traverse_compatriots, set_union, set_intersect, set_difference, order_degree, group_segments, cdc_fold, cdc_as_of, watch_transitions, batch_lookup, orphan_edges, duplicate_values, document_frequency, log_retention, all_of_terms)}
+QUERIES = {f.__name__: f for f in (find_customers, find_residual, find_in_orders, keyset_page, offset_page, range_scan_timestamp, expand_out, expand_in, expand_both, top_orders, traverse_regions, traverse_compatriots, traverse_regions_by_value, traverse_compatriots_by_value, set_union, set_intersect, set_difference, set_union_by_value, set_intersect_by_value, set_difference_by_value, order_degree, group_segments, cdc_fold, cdc_as_of, watch_transitions, batch_lookup, orphan_edges, duplicate_values, document_frequency, log_retention, all_of_terms)}
 
 _RICH = "WITH c AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer), x AS (SELECT * FROM c WHERE c_acctbal > 3000), y AS (SELECT * FROM c WHERE c_nationkey < 10), z AS (SELECT * FROM c WHERE c_custkey % 2 = 0) "
+_BY_VALUE = "WITH c AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer), x AS (SELECT * FROM c WHERE c_acctbal > 3000), y AS (SELECT * FROM c WHERE c_nationkey < 10), z AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) "
+_START = "c_acctbal > 9000 AND c_mktsegment <> 'BUILDING'"
 _NATIONS = "SELECT {0} AS src_type, {1} AS src_id, 'IN_NATION' AS label, {2} AS dst_type, {3} AS dst_id FROM {4}"
 ORACLE_SQL = {
     "find_customers": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 5000 AND c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 1000",
@@ -171,6 +202,11 @@ ORACLE_SQL = {
     "set_union": _RICH + "SELECT DISTINCT * FROM (SELECT * FROM x UNION SELECT * FROM y UNION SELECT * FROM z)",
     "set_intersect": _RICH + "SELECT * FROM x WHERE c_custkey IN (SELECT c_custkey FROM y) AND c_custkey IN (SELECT c_custkey FROM z)",
     "set_difference": _RICH + "SELECT * FROM x WHERE c_custkey NOT IN (SELECT c_custkey FROM y) AND c_custkey NOT IN (SELECT c_custkey FROM z)",
+    "traverse_regions_by_value": f"SELECT DISTINCT 'Region' AS node_type, CAST(n_regionkey AS BIGINT) AS node_id, 2 AS depth FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE {_START}",
+    "traverse_compatriots_by_value": f"SELECT DISTINCT 'Customer' AS node_type, c_custkey AS node_id, 2 AS depth FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer WHERE {_START}) AND NOT coalesce({_START}, false) AND c_acctbal > 0",
+    "set_union_by_value": _BY_VALUE + "SELECT DISTINCT * FROM (SELECT * FROM x UNION SELECT * FROM y UNION SELECT * FROM z)",
+    "set_intersect_by_value": _BY_VALUE + "SELECT * FROM x WHERE c_custkey IN (SELECT c_custkey FROM y) AND c_custkey IN (SELECT c_custkey FROM z)",
+    "set_difference_by_value": _BY_VALUE + "SELECT * FROM x WHERE c_custkey NOT IN (SELECT c_custkey FROM y) AND c_custkey NOT IN (SELECT c_custkey FROM z)",
     "order_degree": "SELECT c_custkey, count(o_orderkey) AS degree FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
     "group_segments": "SELECT c_mktsegment, count(c_acctbal) AS n, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer GROUP BY c_mktsegment",
     "cdc_fold": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
