@@ -176,11 +176,18 @@ def log_retention(spark, d):
     return C.retain(events, "event_id", "ts", events.agg(F.min("ts")).first()[0], 100)
 
 
+def log_retention_by_age(spark, d):
+    """Entries of more than ten days before the last one go, but for those from the middle version on."""
+    events = _t(spark, d, "events").select("event_id", "ts")
+    last, checkpoint = events.agg(F.max("ts") - F.expr("INTERVAL 10 DAYS"), F.floor((F.min("event_id") + F.max("event_id")) / 2)).first()
+    return C.retain(events, "event_id", "ts", last, checkpoint)
+
+
 def all_of_terms(spark, d):
     return N.find(_t(spark, d, "documents").select("doc_id", "text"), "allofterms(text, 'the OF') && size(text) > 500", ["doc_id"], limit=None)
 
 
-QUERIES = {f.__name__: f for f in (find_customers, find_residual, find_in_orders, keyset_page, offset_page, range_scan_timestamp, expand_out, expand_in, expand_both, top_orders, traverse_regions, traverse_compatriots, traverse_regions_by_value, traverse_compatriots_by_value, set_union, set_intersect, set_difference, set_union_by_value, set_intersect_by_value, set_difference_by_value, order_degree, group_segments, cdc_fold, cdc_as_of, watch_transitions, batch_lookup, orphan_edges, duplicate_values, document_frequency, log_retention, all_of_terms)}
+QUERIES = {f.__name__: f for f in (find_customers, find_residual, find_in_orders, keyset_page, offset_page, range_scan_timestamp, expand_out, expand_in, expand_both, top_orders, traverse_regions, traverse_compatriots, traverse_regions_by_value, traverse_compatriots_by_value, set_union, set_intersect, set_difference, set_union_by_value, set_intersect_by_value, set_difference_by_value, order_degree, group_segments, cdc_fold, cdc_as_of, watch_transitions, batch_lookup, orphan_edges, duplicate_values, document_frequency, log_retention, log_retention_by_age, all_of_terms)}
 
 _RICH = "WITH c AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer), x AS (SELECT * FROM c WHERE c_acctbal > 3000), y AS (SELECT * FROM c WHERE c_nationkey < 10), z AS (SELECT * FROM c WHERE c_custkey % 2 = 0) "
 _BY_VALUE = "WITH c AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer), x AS (SELECT * FROM c WHERE c_acctbal > 3000), y AS (SELECT * FROM c WHERE c_nationkey < 10), z AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) "
@@ -217,5 +224,6 @@ ORACLE_SQL = {
     "duplicate_values": "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL HAVING count(*) > 1",
     "document_frequency": "SELECT 'p_brand' AS field, p_brand AS value, count(*) AS n FROM part GROUP BY ALL UNION ALL SELECT 'p_type', p_type, count(*) FROM part GROUP BY ALL",
     "log_retention": "SELECT event_id, ts FROM events",
+    "log_retention_by_age": "WITH m AS (SELECT max(ts) - INTERVAL 10 DAYS AS cut, floor((min(event_id) + max(event_id)) / 2) AS checkpoint FROM events) SELECT event_id, ts FROM events, m WHERE NOT (ts < cut AND event_id < checkpoint)",
     "all_of_terms": "SELECT doc_id FROM documents WHERE len(text) > 500 AND list_has_all(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), ['the', 'of'])",
 }

@@ -33,3 +33,12 @@ def test_find_customers_is_whole(spark, tmp_path):
     """More rows than a page holds, in id order."""
     spark.range(1500).selectExpr("id AS c_custkey", "concat('c', id) AS c_name", "6000.0D AS c_acctbal", "'BUILDING' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
     assert [r.c_custkey for r in G.find_customers(spark, str(tmp_path)).collect()] == list(range(1500))
+
+
+def test_retention_drops_rows(spark, tmp_path):
+    """Some rows go, and only those that are both old and below the checkpoint."""
+    events = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert 0 < G.log_retention_by_age(spark, SF).count() < events
+    rows = spark.sql("SELECT id AS event_id, TIMESTAMP_NTZ'2024-01-31 00:00:00' - make_dt_interval(int(day)) AS ts FROM VALUES (0L, 20), (1L, 5), (2L, 10), (3L, 11), (8L, 20), (10L, 0) AS t(id, day)")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(r.event_id for r in G.log_retention_by_age(spark, str(tmp_path)).collect()) == [1, 2, 8, 10]
