@@ -26,10 +26,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays."""
-    classes = near_classes(docs, scan.Scratch(spark))
+    """Of each group one row stays: that with the smallest id (nulls last) and, among repeated ids, the smallest text.
+
+    Rows without words are in no group and all stay.
+    """
+    scratch = scan.Scratch(spark)
+    row = "doc_id"
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        # Ids that don't tell rows apart give way to numbers in the same order.
+        row = "__row"
+        docs = scratch.save(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn(row, F.monotonically_increasing_id()))
+    classes = near_classes(docs.select(F.col(row).alias("doc_id"), "text"), scratch)
     gone = classes.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col(row) == F.col("__gone"), "left_anti").drop("__row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

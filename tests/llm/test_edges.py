@@ -144,3 +144,17 @@ def test_passages_brute_force(spark):
     got = {r.doc_id: r for r in repeated_passages(df).collect()}
     assert {d: {p for x in r.spans for p in range(x.start, x.end)} for d, r in got.items()} == {d: w[0] for d, w in want.items()}
     assert {d: r.n_removable for d, r in got.items()} == {d: len(w[1]) for d, w in want.items()}
+
+
+def test_pipeline_near_duplicates_keeps_one_row(spark):
+    """Rows that repeat an id, or have none, are rows of their own; one of each group stays."""
+    import corpus_pipeline
+
+    one, two, three = WORDS, WORDS[::-1], "some other words that stand here once"
+    rows = [(3, one, 1), (3, one, 2), (None, one, 3), (5, one, 4), (None, two, 5), (None, two, 6), (7, three, 7), (7, one, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    left = corpus_pipeline.near_duplicates(spark, df, "")
+    assert left.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, two), (3, one), (7, three)]
+    unique = spark.createDataFrame([(4, one, 1), (2, one, 2), (9, two, 3)], df.schema)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, unique, "").collect()) == [2, 9]
