@@ -11,7 +11,7 @@ borders are exact to the byte. The occurrence of a window with the smallest
 document id (and offset) is kept; the others are removable.
 
 Defined results: null or empty texts have no windows; rows that repeat both id
-and text are one document; documents with a null id are left out.
+and text are one document; null is an id like any other, and the last in order.
 """
 
 from __future__ import annotations
@@ -108,7 +108,7 @@ def _compare(least: int):
 
     def close(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
-        keys = [t.column(k).to_numpy() for k in ("h", "doc_id", "row", "at")]
+        keys = [t.column(k).to_numpy() for k in ("h", "row", "at")]
         t = t.filter(pa.array(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])))
         # Equal bodies are hashed once; the dictionary has them in the order of their first rows.
         coded = pa.concat_arrays(t.column("body").chunks).dictionary_encode()
@@ -168,14 +168,17 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 120) -> DataFrame:
-    """(doc_id, n_passages, n_bytes, n_removable, spans) of the documents that have repeated passages; spans are byte offsets."""
-    named = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id is not null")
+    """(doc_id, n_passages, n_bytes, n_removable, spans, removable) of the documents that have repeated passages.
+
+    Both lists are byte offsets; ``removable`` leaves out what is kept as a first occurrence.
+    """
+    named = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     named = named.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     hashes = named.select("row", "text").mapInArrow(_hashes(least), "row bigint, h bigint, n int")
     often = hashes.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     wanted = hashes.select("row", "h").join(often, "h").groupBy("row").agg(F.collect_set("h").alias("wanted"))
     found = named.join(wanted, "row").select("doc_id", "row", "text", "wanted").mapInArrow(_contexts(least), "h bigint, doc_id bigint, row bigint, at int, body binary")
-    dealt = found.repartition("h").sortWithinPartitions("h", "doc_id", "row", "at")
+    dealt = found.repartition("h").sortWithinPartitions(F.col("h"), F.col("doc_id").asc_nulls_last(), F.col("row"), F.col("at"))
     spans = dealt.mapInArrow(_compare(least), "doc_id bigint, row bigint, first bigint, last bigint, later boolean")
     own = spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("first", "last", "later"))).alias("c"))
 
@@ -185,10 +188,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
             for doc, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 all_ = _union([(x["first"], x["last"] + least) for x in found])
                 gone = _union([(x["first"], x["last"] + least) for x in found if x["later"]])
-                out.append((doc, len(all_), sum(b - a for a, b in all_), sum(b - a for a, b in gone), [{"start": a, "end": b} for a, b in all_]))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            names = ["doc_id", "n_passages", "n_bytes", "n_removable", "spans"]
+                out.append((doc, len(all_), sum(b - a for a, b in all_), sum(b - a for a, b in gone), *([{"start": a, "end": b} for a, b in spans] for spans in (all_, gone))))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))] * 2
+            names = ["doc_id", "n_passages", "n_bytes", "n_removable", "spans", "removable"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return own.select("doc_id", "c").mapInArrow(run, "doc_id bigint, n_passages bigint, n_bytes bigint, n_removable bigint, spans array<struct<start: bigint, end: bigint>>")
+    return own.select("doc_id", "c").mapInArrow(run, "doc_id bigint, n_passages bigint, n_bytes bigint, n_removable bigint, spans array<struct<start: bigint, end: bigint>>, removable array<struct<start: bigint, end: bigint>>")

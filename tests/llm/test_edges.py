@@ -158,3 +158,12 @@ def test_pipeline_near_duplicates_keeps_one_row(spark):
     assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, two), (3, one), (7, three)]
     unique = spark.createDataFrame([(4, one, 1), (2, one, 2), (9, two, 3)], df.schema)
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, unique, "").collect()) == [2, 9]
+
+
+def test_passages_null_ids_and_removable(spark):
+    """Null ids come last; what repeats within one document counts; the kept occurrence is not removable."""
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in ("one", "two"))
+    a, b = len(one), len(two)
+    df = spark.createDataFrame([(None, f"x {one}"), (2**60 + 1, one), (4, f"{two} | {two}"), (9, "no passage here")], "doc_id long, text string")
+    got = {r.doc_id: ([tuple(x) for x in r.spans], [tuple(x) for x in r.removable]) for r in repeated_passages(df).collect()}
+    assert got == {None: ([(2, 2 + a)], [(2, 2 + a)]), 2**60 + 1: ([(0, a)], []), 4: ([(0, b), (b + 3, 2 * b + 3)], [(b + 3, 2 * b + 3)])}
