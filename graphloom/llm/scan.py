@@ -22,8 +22,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 SLICE_BYTES = 1 << 19
 
-_P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _Q = np.uint64(0xD6E8FEB86659FD93)
 
 #: Bytes of words for letters and digits; every byte of a non-ASCII character counts.
@@ -96,29 +94,102 @@ def runs(s: Slice, member: np.ndarray, data: np.ndarray | None = None) -> tuple[
     return starts, ends, np.searchsorted(s.bounds, starts, side="right") - 1
 
 
-_powers: dict[str, np.ndarray] = {}
+_M61 = np.uint64((1 << 61) - 1)
+_LOW31, _LOW30, _LOW29, _LOW32 = (np.uint64((1 << k) - 1) for k in (31, 30, 29, 32))
+_BASES = (0x1B873593CC9E2D51 % ((1 << 61) - 1), 0x165667B19E3779F9 % ((1 << 61) - 1))
 
 
-def _power_table(base: np.uint64, name: str, n: int) -> np.ndarray:
-    if name not in _powers or len(_powers[name]) < n:
-        with np.errstate(over="ignore"):
-            _powers[name] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n, SLICE_BYTES + 1), base)]))
-    return _powers[name][:n]
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & _M61) + (x >> np.uint64(61))
+    return np.where(x >= _M61, x - _M61, x)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of the byte spans: differences of a prefix polynomial, finalised."""
+def mul61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime 2**61 - 1 of numbers below it."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    mid = a1 * b0 + a0 * b1
+    return _reduce(np.uint64(2) * a1 * b1 + (mid >> np.uint64(30)) + ((mid & _LOW30) << np.uint64(31)) + a0 * b0)
+
+
+_powers: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def _power_table(seed: int, inverse: bool, n: int) -> np.ndarray:
+    """The first n powers of a base (or of its inverse) modulo 2**61 - 1, made by doubling; long tables aren't kept."""
+    if (have := _powers.get((seed, inverse))) is not None and len(have) >= n:
+        return have[:n]
+    base, size = pow(_BASES[seed], -1 if inverse else 1, int(_M61)), max(n, SLICE_BYTES + 1)
+    out = np.ones(1, np.uint64)
+    while len(out) < size:
+        more = mul61(out[: size - len(out)], np.uint64(pow(base, len(out), int(_M61))))
+        out = np.concatenate([out, more])
+    if size == SLICE_BYTES + 1:
+        _powers[seed, inverse] = out
+    return out[:n]
+
+
+def poly_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans that may overlap: values of a polynomial modulo the prime 2**61 - 1, finalised.
+
+    A span's value is a difference of prefix sums, kept apart for the lower 32
+    and the upper bits of the powers, over the power at its start. (A modulus
+    that is a power of two would give equal values to some regular texts.)
+    """
     n = len(data)
     if not len(starts):
         return np.empty(0, np.uint64)
-    base, inverse, name = (_P, _P_INV, "p") if not seed else (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64)), "q")
-    with np.errstate(over="ignore"):
+    powers, values = _power_table(seed, False, n), data.astype(np.uint64) + np.uint64(1)
+    sums = []
+    for part in (powers & _LOW32, powers >> np.uint64(32)):
+        part *= values
         prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table(base, name, n), out=prefix[1:])
-        h = (prefix[ends] - prefix[starts]) * _power_table(inverse, name + "-", n)[starts]
+        np.cumsum(part, out=prefix[1:])
+        sums.append(_reduce(prefix[ends] - prefix[starts]))
+    low, high = sums
+    high = _reduce(((high & _LOW29) << np.uint64(32)) + (high >> np.uint64(29)))
+    h = mul61(_reduce(low + high), _power_table(seed, True, n)[starts])
+    with np.errstate(over="ignore"):
         return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
+#: Spans of more bytes are hashed by poly_hashes.
+_BLOCKS = 256
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+class Blocks:
+    """Bytes that can be read eight at a time from any position."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+        self.words = np.ndarray(len(data) + 1, "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+        """64-bit hashes of byte spans: a chain over blocks of eight bytes, all spans' k-th blocks at once."""
+        size = ends - starts
+        with np.errstate(over="ignore"):
+            h = mix(size.astype(np.uint64) + np.uint64((0x9FB21C651E98DF25 * (2 * seed + 1)) % (1 << 64)))
+        own, k = np.flatnonzero((size > 0) & (size <= _BLOCKS)), 0
+        while len(own):
+            left = size[own] - k
+            block = self.words[starts[own] + k] & _HEAD[np.minimum(left, 8)]
+            with np.errstate(over="ignore"):
+                h[own] = mix((h[own] ^ block) * _Q)
+            k += 8
+            own = own[left > 8]
+        if len(long := np.flatnonzero(size > _BLOCKS)):
+            # only their own bytes are looked at
+            to = np.cumsum(size[long])
+            body = np.concatenate([self.data[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)])
+            h[long] = poly_hashes(body, to - size[long], to, seed)
+        return h
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte spans."""
+    return Blocks(data).hashes(starts, ends, seed)
+
+
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of each ``size`` consecutive words, given the hashes of the words."""
     n = len(words) - size + 1
@@ -209,10 +280,18 @@ class Scratch:
         self.n = 0
         _made[self.base] = spark
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
+        """``df`` as a table; ``batch_bytes`` bounds its Arrow batches, where rows are large."""
         self.n += 1
-        path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        path, key = f"{self.base}/{self.n}", "spark.sql.execution.arrow.maxBytesPerBatch"
+        before = self.spark.conf.get(key)
+        try:
+            if batch_bytes:
+                self.spark.conf.set(key, batch_bytes)
+            df.write.parquet(path)
+        finally:
+            if batch_bytes:
+                self.spark.conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._graphloom_path = path
         return out

@@ -121,7 +121,7 @@ def _compare(least: int):
         own = np.repeat(np.arange(len(many)), many)
         inner = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
         p = offs[own] + inner
-        _, one, which = np.unique(scan.span_hashes(data, p, p + least), return_index=True, return_inverse=True)
+        _, one, which = np.unique(scan.poly_hashes(data, p, p + least), return_index=True, return_inverse=True)
         n = np.bincount(which, weights=copies[own])
         state = (n[which] > 1) * np.where(one[which] == np.arange(len(p)), 1, 2)
         new = np.flatnonzero(np.concatenate([[True], (state[1:] != state[:-1]) | (own[1:] != own[:-1])]))

@@ -119,15 +119,9 @@ class PrefixCounter:
         return np.array(counts, np.int64)
 
     def _tokens(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        key = (id(data), len(data))
-        if getattr(self, "_prefix_key", None) != key:
-            with np.errstate(over="ignore"):
-                prefix = np.zeros(len(data) + 1, np.uint64)
-                np.cumsum((data.astype(np.uint64) + np.uint64(1)) * scan._power_table(scan._P, "p", len(data)), out=prefix[1:])
-            self._prefix, self._prefix_key, self._data = prefix, key, data
-        with np.errstate(over="ignore"):
-            h = (self._prefix[end] - self._prefix[start]) * scan._power_table(scan._P_INV, "p-", len(data))[start]
-            h = scan.mix(h + (end - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        if getattr(self, "_blocks", None) is None or self._blocks.data is not data:
+            self._blocks = scan.Blocks(data)
+        h = self._blocks.hashes(start, end)
         out = np.full(len(h), -1, np.int64)
         some = np.flatnonzero(self.seen[h >> np.uint64(42)])
         if len(some):
