@@ -1,9 +1,13 @@
 """CEL filters compiled to Spark columns.
 
-Null semantics are SQL's: a predicate that isn't true drops the row. Comparisons
-of types that can't be compared are false instead of an error (ANSI mode would
-raise while rows are read). A timestamp column meets integer literals as
-microseconds: the literal is rewritten, so the filter still reaches the scan.
+Null semantics are SQL's: a predicate that isn't true drops the row. What is an
+error in CEL is null here, so no row ends the query and ``!`` doesn't turn an
+error into a match: comparing types that don't fit, calling a function on a type
+it isn't for, integer overflow, division by zero, a pattern that doesn't
+compile, and an undeclared name (which in node filters is null, so that
+``x == null`` holds, and in edge filters an error). A timestamp column meets
+integer literals as microseconds: the literal is rewritten, so the filter still
+reaches the scan.
 """
 
 from __future__ import annotations
@@ -11,7 +15,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +35,7 @@ _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\", "'": "'", '"': '"'}
 
 @dataclass
 class Typed:
-    """A column with its CEL type: bool, int, double, string, timestamp, bytes, null or list."""
+    """A column with its CEL type: bool, int, double, string, timestamp, bytes, null, list or error."""
 
     col: Column | None
     kind: str
@@ -38,6 +43,23 @@ class Typed:
     items: list | None = None
 
 
+NOTHING = "error"
+
+
+def _error(kind: str = NOTHING) -> Typed:
+    """What a CEL error becomes: null, which no filter keeps and no negation turns into a match."""
+    return Typed(F.lit(None).cast({"int": "bigint", NOTHING: "boolean"}.get(kind, kind if kind in ("double", "string") else "boolean")), kind)
+
+
+def _compiles(pattern: str) -> bool:
+    """Whether the JVM's regular expressions take the pattern."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+        return True
+    except IllegalArgumentException:
+        return False
+
+
 def _kind(t: T.DataType) -> str:
     if isinstance(t, T.BooleanType):
         return "bool"
@@ -80,7 +102,11 @@ class _Parser:
             a = self.expression()
             self.need(":")
             b = self.expression()
-            return Typed(F.when(self.bool(cond), a.col).otherwise(b.col), a.kind)
+            test = self.bool(cond)
+            kinds = {a.kind, b.kind} - {"null", NOTHING}
+            if len(kinds) > 1 and kinds != {"int", "double"}:
+                raise CelTypeError(f"the branches are {a.kind} and {b.kind}")
+            return Typed(F.when(test, a.col).when(~test, b.col), "double" if len(kinds) > 1 else next(iter(kinds), a.kind))
         return cond
 
     def either(self) -> Typed:
@@ -96,7 +122,7 @@ class _Parser:
         return out
 
     def bool(self, x: Typed) -> Column:
-        if x.kind == "null":
+        if x.kind in ("null", NOTHING):
             return F.lit(None).cast("boolean")
         if x.kind != "bool":
             raise CelTypeError(f"a boolean is needed, not {x.kind}")
@@ -118,17 +144,19 @@ class _Parser:
         return Typed(x.col.isin([y.literal for y in xs.items]) if xs.items and all(y.literal is not None and y.kind == x.kind for y in xs.items) else out, "bool")
 
     def compare(self, op: str, a: Typed, b: Typed) -> Typed:
+        if NOTHING in (a.kind, b.kind) or "list" in (a.kind, b.kind):
+            return _error("bool")
         if "null" in (a.kind, b.kind):
             other = a if b.kind == "null" else b
             if op not in ("==", "!="):
-                return Typed(F.lit(False), "bool")
+                return _error("bool")
             if other.kind == "null":
                 return Typed(F.lit(op == "=="), "bool")
             return Typed(other.col.isNull() if op == "==" else other.col.isNotNull(), "bool")
         a, b = self.stamp(a, b), self.stamp(b, a)
         number = {"int", "double"}
         if a.kind != b.kind and not {a.kind, b.kind} <= number:
-            return Typed(F.lit(False), "bool")
+            return _error("bool")
         x, y = a.col, b.col
         return Typed({"==": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op], "bool")
 
@@ -145,36 +173,57 @@ class _Parser:
             if op == "+" and out.kind == b.kind == "string":
                 out = Typed(F.concat(out.col, b.col), "string")
             else:
-                out = Typed(out.col + b.col if op == "+" else out.col - b.col, self.number(out, b))
+                out = self.arithmetic(op, out, b)
         return out
 
-    def number(self, a: Typed, b: Typed) -> str:
-        if not {a.kind, b.kind} <= {"int", "double"}:
-            raise CelTypeError(f"no arithmetic on {a.kind} and {b.kind}")
-        return "double" if "double" in (a.kind, b.kind) else "int"
-
     def product(self) -> Typed:
         out = self.unary()
         while op := self.take("*", "/", "%"):
-            b = self.unary()
-            kind = self.number(out, b)
-            if op == "*":
-                out = Typed(out.col * b.col, kind)
-            elif op == "%":
-                out = Typed(F.try_mod(out.col, b.col), kind)
-            else:
-                q = F.try_divide(out.col, b.col)
-                out = Typed(q.cast("bigint") if kind == "int" else q, kind)
+            out = self.arithmetic(op, out, self.unary())
         return out
 
+    def number(self, a: Typed, b: Typed) -> str:
+        if not {a.kind, b.kind} <= {"int", "double", "null", NOTHING}:
+            raise CelTypeError(f"no arithmetic on {a.kind} and {b.kind}")
+        if {a.kind, b.kind} & {"null", NOTHING}:
+            return NOTHING
+        return "double" if "double" in (a.kind, b.kind) else "int"
+
+    def arithmetic(self, op: str, a: Typed, b: Typed) -> Typed:
+        """64-bit integers whose overflow is null, or doubles, whose division by zero has a result."""
+        kind = self.number(a, b)
+        if kind == NOTHING or (kind == "double" and op == "%"):
+            return _error()
+        x, y = (c.col.cast("bigint" if kind == "int" else "double") for c in (a, b))
+        if kind == "double":
+            over = F.when(y == 0, x * F.lit(float("inf"))).otherwise(x / F.when(y != 0, y))
+            return Typed({"+": x + y, "-": x - y, "*": x * y}[op] if op != "/" else over, "double")
+        if op == "/":
+            return Typed(F.when(y == -1, F.try_subtract(F.lit(0).cast("bigint"), x)).otherwise(F.call_function("div", x, F.when(~y.isin(0, -1), y))), "int")
+        return Typed({"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "%": F.try_mod}[op](x, y), "int")
+
     def unary(self) -> Typed:
         if self.take("!"):
             return Typed(~self.bool(self.unary()), "bool")
         if self.take("-"):
+            if self.at < len(self.tokens) and self.tokens[self.at][0] == "num":
+                x = self.literal("-" + self.tokens[self.at][1])
+                self.at += 1
+                return x
             x = self.unary()
-            return Typed(-x.col, self.number(x, x), -x.literal if x.literal is not None else None)
+            if self.number(x, x) == NOTHING:
+                return _error()
+            return Typed(F.try_subtract(F.lit(0).cast("bigint"), x.col.cast("bigint")) if x.kind == "int" else -x.col, x.kind)
         return self.postfix()
 
+    @staticmethod
+    def literal(text: str) -> Typed:
+        if re.search("[.eE]", text):
+            return Typed(F.lit(float(text)), "double", float(text))
+        if not -(1 << 63) <= int(text) < 1 << 63:
+            raise CelSyntaxError(f"{text} is no 64-bit integer")
+        return Typed(F.lit(int(text)), "int", int(text))
+
     def postfix(self) -> Typed:
         out = self.primary()
         while self.take("."):
@@ -195,16 +244,26 @@ class _Parser:
     def call(self, name: str | None, args: list[Typed]) -> Typed:
         c = [a.col for a in args]
         text = all(a.kind == "string" for a in args)
-        two = {"contains": F.contains, "startsWith": F.startswith, "endsWith": F.endswith, "matches": F.regexp_like}
+        two = {"contains": F.contains, "startsWith": F.startswith, "endsWith": F.endswith}
         if name in two and len(args) == 2:
-            return Typed(two[name](*c), "bool") if text else Typed(F.lit(False), "bool")
+            return Typed(two[name](*c), "bool") if text else _error("bool")
+        if name == "matches" and len(args) == 2:
+            if not text or args[1].literal is None or not _compiles(args[1].literal):
+                return _error("bool")
+            return Typed(F.regexp_like(*c), "bool")
         if name == "size" and len(args) == 1:
-            return Typed(F.length(c[0]).cast("bigint"), "int")
+            if args[0].kind == "list":
+                return Typed(F.lit(len(args[0].items)), "int", len(args[0].items))
+            return Typed(F.length(c[0]).cast("bigint"), "int") if args[0].kind in ("string", "bytes") else _error("int")
         if name == "has" and len(args) == 1:
-            return Typed(F.lit(False) if args[0].kind == "null" else c[0].isNotNull(), "bool")
+            return Typed(F.lit(False) if args[0].kind in ("null", NOTHING) else c[0].isNotNull(), "bool")
         casts = {"int": ("bigint", "int"), "double": ("double", "double"), "string": ("string", "string"), "bool": ("boolean", "bool")}
+        if name in casts and len(args) == 1 and args[0].kind in ("list", NOTHING):
+            return _error(casts[name][1])
         if name in casts and len(args) == 1:
             return Typed(c[0].try_cast(casts[name][0]), casts[name][1])
+        if name == "allofterms" and len(args) == 2 and not text:
+            return _error("bool")
         if name == "allofterms" and len(args) == 2:
             tokens = lambda x: F.array_remove(F.split(F.lower(x), r"\s+"), "")
             return Typed(F.size(F.array_except(tokens(c[1]), tokens(c[0]))) == 0, "bool")
@@ -216,8 +275,7 @@ class _Parser:
         group, tok = self.tokens[self.at]
         self.at += 1
         if group == "num":
-            value = float(tok) if re.search("[.eE]", tok) else int(tok)
-            return Typed(F.lit(value), "double" if isinstance(value, float) else "int", value)
+            return self.literal(tok)
         if group == "str":
             value = re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[0]), tok[1:-1])
             return Typed(F.lit(value), "string", value)
@@ -230,7 +288,7 @@ class _Parser:
                 return self.call(tok, self.arguments())
             if tok in self.fields:
                 return Typed(F.col(f"`{tok}`"), _kind(self.fields[tok]))
-            return Typed(F.lit(None), "null")
+            return _error() if self.loose else Typed(F.lit(None), "null")
         if tok == "(":
             out = self.expression()
             self.need(")")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators import aggregate as A
 from graphloom.operators import edges as E
+from graphloom.operators import jobs as J
 from graphloom.operators import nodes as N
+from graphloom.operators import traversal as W
 from graphloom.streaming import changes as C
 
 
@@ -74,14 +77,18 @@ def top_orders(spark, d):
     return E.top_edges(own, 3, [F.col("o_totalprice").desc(), F.col("dst_id")]).select("src_id", "dst_id", "o_totalprice")
 
 
+def _walk(start, edges, hops, nodes=None):
+    return W.nodes_of(W.traverse(start, edges, hops, nodes))
+
+
 def traverse_regions(spark, d):
-    start = _t(spark, d, "customer").where("c_custkey < 50").select(F.lit("Customer").alias("node_type"), F.col("c_custkey").alias("node_id"))
-    return E.traverse(start, graph(spark, d), [{"labels": ["IN_NATION"]}, {"labels": ["IN_REGION"]}])
+    start = _t(spark, d, "customer").where("c_acctbal < 0").select(F.lit("Customer").alias("node_type"), F.col("c_custkey").alias("node_id"))
+    return _walk(start, graph(spark, d), [{"labels": ["IN_NATION"]}, {"labels": ["IN_REGION"]}])
 
 
 def traverse_compatriots(spark, d):
-    start = _t(spark, d, "customer").where("c_custkey < 5").select(F.lit("Customer").alias("node_type"), F.col("c_custkey").alias("node_id"))
-    return E.traverse(start, graph(spark, d), [{"labels": ["IN_NATION"]}, {"labels": ["IN_NATION"], "direction": "IN", "node_filter": "c_acctbal > 0.0"}], {"Customer": (_t(spark, d, "customer"), "c_custkey")})
+    start = _t(spark, d, "customer").where("c_acctbal < -900 AND c_mktsegment = 'FURNITURE'").select(F.lit("Customer").alias("node_type"), F.col("c_custkey").alias("node_id"))
+    return _walk(start, graph(spark, d), [{"labels": ["IN_NATION"]}, {"labels": ["IN_NATION"], "direction": "IN", "node_filter": "c_acctbal > 0.0"}], {"Customer": (_t(spark, d, "customer"), "c_custkey")})
 
 
 def _rich_customers(spark, d):
@@ -89,16 +96,16 @@ def _rich_customers(spark, d):
 
 
 def traverse_regions_by_value(spark, d):
-    return E.traverse(_rich_customers(spark, d), graph(spark, d), [{"labels": ["IN_NATION"]}, {"labels": ["IN_REGION"]}])
+    return _walk(_rich_customers(spark, d), graph(spark, d), [{"labels": ["IN_NATION"]}, {"labels": ["IN_REGION"]}])
 
 
 def traverse_compatriots_by_value(spark, d):
-    return E.traverse(_rich_customers(spark, d), graph(spark, d), [{"labels": ["IN_NATION"]}, {"labels": ["IN_NATION"], "direction": "IN", "node_filter": "c_acctbal > 0.0"}], {"Customer": (_t(spark, d, "customer"), "c_custkey")})
+    return _walk(_rich_customers(spark, d), graph(spark, d), [{"labels": ["IN_NATION"]}, {"labels": ["IN_NATION"], "direction": "IN", "node_filter": "c_acctbal > 0.0"}], {"Customer": (_t(spark, d, "customer"), "c_custkey")})
 
 
 def _rich(spark, d):
     c = _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    return c.where("c_acctbal > 3000"), c.where("c_nationkey < 10"), c.where("c_custkey % 2 = 0")
+    return c.where("c_acctbal > 3000"), c.where("c_nationkey < 10"), c.where("c_acctbal BETWEEN 0 AND 7000")
 
 
 def set_union(spark, d):
@@ -135,7 +142,7 @@ def order_degree(spark, d):
 
 
 def group_segments(spark, d):
-    return _t(spark, d, "customer").groupBy("c_mktsegment").agg(F.count("c_acctbal").alias("n"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
+    return A.group_by(_t(spark, d, "customer"), ["c_mktsegment"], {"n": ("count", "c_acctbal"), "low": ("min", "c_acctbal"), "high": ("max", "c_acctbal")})
 
 
 def cdc_fold(spark, d):
@@ -163,17 +170,18 @@ def orphan_edges(spark, d):
 
 def duplicate_values(spark, d):
     """Values that break a unique constraint on a customer's nation and segment."""
-    return _t(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n")).where("n > 1")
+    return A.duplicate_values(_t(spark, d, "customer"), ["c_nationkey", "c_mktsegment"])
 
 
 def document_frequency(spark, d):
-    c = _t(spark, d, "part").select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("p_brand", "p_type")])).alias("x"))
-    return c.groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
+    return A.document_frequency(_t(spark, d, "part"), "p_partkey", ["p_brand", "p_type"])
 
 
 def log_retention(spark, d):
+    """Entries from before 2024-01-20 go, as far as two consumers have read."""
     events = _t(spark, d, "events").select("event_id", "ts")
-    return C.retain(events, "event_id", "ts", events.agg(F.min("ts")).first()[0], 100)
+    readers = events.agg(F.explode(F.array(F.max("event_id"), F.floor(F.max("event_id") / 3))).alias("position"))
+    return J.retain_log(events, "event_id", "ts", F.lit("2024-01-20").cast("timestamp_ntz"), readers)
 
 
 def log_retention_by_age(spark, d):
@@ -189,12 +197,12 @@ def all_of_terms(spark, d):
 
 QUERIES = {f.__name__: f for f in (find_customers, find_residual, find_in_orders, keyset_page, offset_page, range_scan_timestamp, expand_out, expand_in, expand_both, top_orders, traverse_regions, traverse_compatriots, traverse_regions_by_value, traverse_compatriots_by_value, set_union, set_intersect, set_difference, set_union_by_value, set_intersect_by_value, set_difference_by_value, order_degree, group_segments, cdc_fold, cdc_as_of, watch_transitions, batch_lookup, orphan_edges, duplicate_values, document_frequency, log_retention, log_retention_by_age, all_of_terms)}
 
-_RICH = "WITH c AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer), x AS (SELECT * FROM c WHERE c_acctbal > 3000), y AS (SELECT * FROM c WHERE c_nationkey < 10), z AS (SELECT * FROM c WHERE c_custkey % 2 = 0) "
+_RICH = "WITH c AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer), x AS (SELECT * FROM c WHERE c_acctbal > 3000), y AS (SELECT * FROM c WHERE c_nationkey < 10), z AS (SELECT * FROM c WHERE c_acctbal BETWEEN 0 AND 7000) "
 _BY_VALUE = "WITH c AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer), x AS (SELECT * FROM c WHERE c_acctbal > 3000), y AS (SELECT * FROM c WHERE c_nationkey < 10), z AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) "
 _START = "c_acctbal > 9000 AND c_mktsegment <> 'BUILDING'"
 _NATIONS = "SELECT {0} AS src_type, {1} AS src_id, 'IN_NATION' AS label, {2} AS dst_type, {3} AS dst_id FROM {4}"
 ORACLE_SQL = {
-    "find_customers": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 5000 AND c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 1000",
+    "find_customers": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 5000 AND c_mktsegment = 'BUILDING' ORDER BY c_custkey",
     "find_residual": "SELECT p_partkey, p_size FROM part WHERE (p_size >= 40 OR p_brand = 'Brand#1') AND contains(p_name, 'a') AND p_retailprice IS NOT NULL",
     "find_in_orders": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice > 1000",
     "keyset_page": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100 AND o_orderkey > 120 ORDER BY o_orderkey LIMIT 50",
@@ -204,8 +212,8 @@ ORACLE_SQL = {
     "expand_in": _NATIONS.format("'Nation'", "CAST(c_nationkey AS BIGINT)", "'Customer'", "c_custkey", "customer") + " UNION ALL " + _NATIONS.format("'Nation'", "CAST(s_nationkey AS BIGINT)", "'Supplier'", "s_suppkey", "supplier"),
     "expand_both": "SELECT 'Nation' AS src_type, CAST(n_nationkey AS BIGINT) AS src_id, 'IN_REGION' AS label, 'Region' AS dst_type, CAST(n_regionkey AS BIGINT) AS dst_id FROM nation UNION ALL SELECT 'Region', CAST(n_regionkey AS BIGINT), 'IN_REGION', 'Nation', CAST(n_nationkey AS BIGINT) FROM nation",
     "top_orders": "SELECT o_custkey AS src_id, o_orderkey AS dst_id, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3",
-    "traverse_regions": "SELECT DISTINCT 'Region' AS node_type, CAST(n_regionkey AS BIGINT) AS node_id, 2 AS depth FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 50",
-    "traverse_compatriots": "SELECT DISTINCT 'Customer' AS node_type, c_custkey AS node_id, 2 AS depth FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey < 5) AND c_custkey >= 5 AND c_acctbal > 0",
+    "traverse_regions": "SELECT DISTINCT 'Region' AS node_type, CAST(n_regionkey AS BIGINT) AS node_id, 2 AS depth FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0",
+    "traverse_compatriots": "SELECT DISTINCT 'Customer' AS node_type, c_custkey AS node_id, 2 AS depth FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal < -900 AND c_mktsegment = 'FURNITURE') AND c_acctbal > 0",
     "set_union": _RICH + "SELECT DISTINCT * FROM (SELECT * FROM x UNION SELECT * FROM y UNION SELECT * FROM z)",
     "set_intersect": _RICH + "SELECT * FROM x WHERE c_custkey IN (SELECT c_custkey FROM y) AND c_custkey IN (SELECT c_custkey FROM z)",
     "set_difference": _RICH + "SELECT * FROM x WHERE c_custkey NOT IN (SELECT c_custkey FROM y) AND c_custkey NOT IN (SELECT c_custkey FROM z)",
@@ -221,9 +229,9 @@ ORACLE_SQL = {
     "watch_transitions": "WITH m AS (SELECT user_id, event_id, value >= 50 AS now, coalesce(lag(value >= 50) OVER (PARTITION BY user_id ORDER BY event_id), false) AS was FROM events) SELECT user_id, event_id, CASE WHEN now AND NOT was THEN 'ENTER' WHEN now THEN 'UPDATE' ELSE 'EXIT' END AS event FROM m WHERE now OR was",
     "batch_lookup": "SELECT o_orderkey * 3 AS id, o_orderkey AS pos, c_custkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_orderkey * 3",
     "orphan_edges": "SELECT o_custkey AS src_id, o_orderkey AS dst_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')",
-    "duplicate_values": "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL HAVING count(*) > 1",
+    "duplicate_values": "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer WHERE c_nationkey IS NOT NULL AND c_mktsegment IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
     "document_frequency": "SELECT 'p_brand' AS field, p_brand AS value, count(*) AS n FROM part GROUP BY ALL UNION ALL SELECT 'p_type', p_type, count(*) FROM part GROUP BY ALL",
-    "log_retention": "SELECT event_id, ts FROM events",
+    "log_retention": "SELECT event_id, ts FROM events WHERE NOT (ts < '2024-01-20' AND event_id < (SELECT max(event_id) // 3 FROM events))",
     "log_retention_by_age": "WITH m AS (SELECT max(ts) - INTERVAL 10 DAYS AS cut, floor((min(event_id) + max(event_id)) / 2) AS checkpoint FROM events) SELECT event_id, ts FROM events, m WHERE NOT (ts < cut AND event_id < checkpoint)",
     "all_of_terms": "SELECT doc_id FROM documents WHERE len(text) > 500 AND list_has_all(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), ['the', 'of'])",
 }

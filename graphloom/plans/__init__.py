@@ -1 +1 @@
-"""See the modules."""
+"""Queries of several blocks, composed as DataFrames."""

@@ -1 +1 @@
-"""See the modules."""
+"""Schemas of node types, and loading of data sets."""

@@ -1 +1 @@
-"""See the modules."""
+"""The change log, and queries that follow it."""

@@ -1,15 +1,20 @@
 import pytest
 from oracle import compare
 
+from graphloom import block_queries as B
 from graphloom import graph_queries as G
+from graphloom import log_queries as L
 from graphloom.functions.cel import CelSyntaxError, CelTypeError, compile_cel
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(G.QUERIES))
+QUERIES, SQL = G.QUERIES | B.QUERIES | L.QUERIES, G.ORACLE_SQL | B.ORACLE_SQL | L.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, name):
-    compare(G.QUERIES[name](spark, SF), G.ORACLE_SQL[name], SF)
+    compare(QUERIES[name](spark, SF), SQL[name], SF)
 
 
 @pytest.mark.parametrize(
