@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -114,8 +115,12 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 13, max_bytes: int = 64 << 20, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with n_words, n_hit, items (sorted) and spans (merged word spans ``[start, end)``)."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 13, max_bytes: int = 16 << 20, scratch: Scratch | None = None) -> DataFrame:
+    """``docs`` with n_words, n_hit, items (sorted) and spans (merged word spans ``[start, end)``).
+
+    Windows of more than ``max_bytes`` of text (Python holds them in some eight
+    times that) are taken in blocks, one pass over the documents for each.
+    """
     spark = docs.sparkSession
     windows = benchmark_windows(benchmark, item_id, item_text, size)
     total = windows.agg(F.sum(F.octet_length("window") + F.octet_length("item") + 16)).first()[0] or 0
@@ -171,8 +176,9 @@ def _scan(docs: DataFrame, text: str, held, again: bool) -> DataFrame:
 
 
 def is_contaminated(share: float = 0.05):
-    """The rule over find_hits' columns: a hit, and hit words of at least this share of all words."""
-    return (F.col("n_hit") > 0) & (F.col("n_hit") * F.lit(round(1 / share)) >= F.col("n_words"))
+    """The rule over find_hits' columns: a hit, and hit words of at least this share (a decimal, taken exactly) of all words."""
+    part = Fraction(str(share))
+    return (F.col("n_hit") > 0) & (F.col("n_hit") * part.denominator >= F.col("n_words") * part.numerator)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.05, **options) -> DataFrame:

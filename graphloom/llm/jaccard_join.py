@@ -320,7 +320,8 @@ def near_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     sized = scratch.save(named.mapInArrow(_sizes, "doc_id bigint, n bigint, f1 bigint, f2 bigint"))
     total = sized.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, int(total // range_tokens) + 1)
-    classes = sized.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
+    # A table of its own, so that the join of a large class with it is one that adaptive execution splits.
+    classes = scratch.save(sized.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
     heavy, counts = frequent_tokens(named, classes, sample, share, most)
     postings = named.mapInArrow(_postings(buckets, heavy), "bucket int, tokens binary, owners binary, sizes binary, ns binary")
     shared = postings.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(buckets, heavy, counts, sized.count()), "part int, tokens binary, owners binary, sizes binary, ns binary, dfs binary")

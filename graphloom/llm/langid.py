@@ -3,8 +3,8 @@
 Texts become relative frequencies of hashed byte n-grams (one to three bytes,
 A-Z lower-cased). A linear support vector machine for each family against the
 rest picks the family; within it, one machine for each pair of languages votes.
-Machines are trained here by averaged stochastic subgradients on at most
-``sample`` documents for each language (the smallest hashes of their ids).
+Machines are trained here by averaged stochastic subgradients on a bounded
+sample (see fit_languages).
 
 Families of known codes are fixed values; any other code is its own family.
 Defined results: ``und`` with score 0 for a null text or one without letters;
@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import scan
@@ -106,20 +106,30 @@ class Hierarchy:
         return lang.tolist(), np.clip(score, 0, 1)
 
 
-def fit_languages(docs: DataFrame, sample: int = 1500) -> Hierarchy:
+def fit_languages(docs: DataFrame, sample: int = 1500, total: int = 12_000, languages: int = 200) -> Hierarchy:
+    """Learns from documents whose crc32(doc_id as text) mod 4 is not 2.
+
+    The ``languages`` most frequent ones are learned, of each at most ``sample``
+    documents and of all together ``total``: those with the smallest hashes of
+    their ids. One pass over the ids picks them; rows that repeat an id count once.
+    """
     key = F.col("doc_id").cast("bigint").cast("string").cast("binary")
-    own = docs.where(F.col("lang").isNotNull() & (F.crc32(key) % 4 != 2))
+    own = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(key) % 4 != 2))
     ids = own.select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id"))
-    per = {r.lang: r.n for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    parts = [ids.where(F.col("lang") == v).orderBy("h", "doc_id").limit(sample).select("doc_id") for v in sorted(per)]
-    if not parts:
-        return Hierarchy(np.zeros((0, DIM)), np.array([]))
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.unionByName(p)
-    got = own.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("lang", "text")
-    t = got.toArrow()
-    return Hierarchy(profiles(t["text"].combine_chunks()), np.array(t["lang"].to_pylist()))
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not counts:
+        return Hierarchy(np.zeros((0, DIM), np.float32), np.array([]))
+    each = max(1, min(sample, total // len(counts)))
+    # Twice as many are let through by their hash as are wanted, so that few rows are put in order.
+    bars = [(r.lang, (1 << 63) - 1 if r.n <= 4 * each else int((2 * each / r.n) * (1 << 64)) - (1 << 63)) for r in counts]
+    bar = docs.sparkSession.createDataFrame(bars, "lang string, bar long")
+    few = ids.join(F.broadcast(bar), "lang").where("h <= bar").groupBy("lang", "h", "doc_id").agg(F.lit(1).alias("one"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = few.withColumn("k", place).where(F.col("k") <= each).select("doc_id", "lang")
+    got = own.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").dropDuplicates(["doc_id", "lang"]).select("lang", "text").toArrow()
+    texts = got["text"].combine_chunks()
+    x = [profiles(texts.slice(k, 256)).astype(np.float32) for k in range(0, len(texts), 256)]
+    return Hierarchy(np.concatenate(x), np.array(got["lang"].to_pylist()))
 
 
 def identify(docs: DataFrame, model: Hierarchy, text: str = "text") -> DataFrame:

@@ -124,17 +124,22 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, r
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Forest:
-    """Learns from labelled rows whose crc32(doc_id as text) mod 5 is not 0; at most ``sample`` of them."""
+    """Learns from labelled rows whose crc32(doc_id as text) mod 5 is not 0; at most ``sample`` of them.
+
+    An id with several labels has the largest, and of several documents with one
+    id one row of statistics is used. Without labelled documents the score is 0.5.
+    """
     key = F.col("doc_id").cast("bigint")
-    chosen = labels.where(F.col("quality").isNotNull() & (F.crc32(key.cast("string").cast("binary")) % 5 != 0)).select(key.alias("__id"), F.col("quality").cast("double").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    few = docs.select(key.alias("__id"), "text").join(F.broadcast(chosen), "__id")
+    own = labels.where(F.col("quality").isNotNull() & (F.crc32(key.cast("string").cast("binary")) % 5 != 0)).groupBy(key.alias("__id")).agg(F.max(F.col("quality").cast("double")).alias("__y"))
+    few = docs.select(key.alias("__id"), F.col("text").alias("__text")).join(F.broadcast(own.orderBy(F.xxhash64("__id"), "__id").limit(sample)), "__id")
 
     def run(batches):
         for batch in batches:
-            x = statistics(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
+            x = statistics(batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
-    got = few.select("__y", "text").mapInArrow(run, "y double, x array<double>").collect()
+    seen = few.select("__id", "__y", "__text").mapInArrow(run, "id bigint, y double, x array<double>")
+    got = seen.groupBy("id").agg(F.min(F.struct("y", "x")).alias("r")).orderBy("id").select("r.*").collect()
     return fit_forest(np.array([r.x for r in got]).reshape(len(got), N_FEATURES), np.array([r.y for r in got]))
 
 

@@ -88,7 +88,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removable")
+    return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), words=50).drop("removable")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

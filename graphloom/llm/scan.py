@@ -7,19 +7,18 @@ so working memory is some 60 bytes per byte of the slice.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from graphloom.operators.tables import Tables
+
 SLICE_BYTES = 1 << 19
 
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -248,66 +247,21 @@ def append_columns(df: DataFrame, text: str, schema: str | T.StructType, make: C
 
 # ---------------------------------------------------------------- scratch tables
 
-_made: dict[str, SparkSession] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext._conf.get("spark.checkpoint.dir")
-    if not path:
-        path = tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("graphloom.scratch", path) if spark.conf.get("graphloom.scratch", None) is None else None
-        path = spark.conf.get("graphloom.scratch")
-    return path
-
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-class Scratch:
-    """Tables written to the shared folder, to cut lineage where a plan is reused or iterated.
-
-    ``drop`` removes one as soon as nothing reads it any more; the rest go when
-    the program ends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/graphloom-{uuid.uuid4().hex}"
-        self.n = 0
-        _made[self.base] = spark
+class Scratch(Tables):
+    """Tables written to the shared folder, to cut lineage where a plan is reused or iterated."""
 
     def save(self, df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
         """``df`` as a table; ``batch_bytes`` bounds its Arrow batches, where rows are large."""
-        self.n += 1
-        path, key = f"{self.base}/{self.n}", "spark.sql.execution.arrow.maxBytesPerBatch"
+        if not batch_bytes:
+            return super().save(df)
+        key = "spark.sql.execution.arrow.maxBytesPerBatch"
         before = self.spark.conf.get(key)
+        self.spark.conf.set(key, batch_bytes)
         try:
-            if batch_bytes:
-                self.spark.conf.set(key, batch_bytes)
-            df.write.parquet(path)
+            return super().save(df)
         finally:
-            if batch_bytes:
-                self.spark.conf.set(key, before)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._graphloom_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        if path := getattr(df, "_graphloom_path", None):
-            _delete(self.spark, path)
-
-
-@atexit.register
-def _sweep() -> None:
-    for base, spark in _made.items():
-        try:
-            _delete(spark, base)
-        except Exception:  # noqa: BLE001, S110 - the session may be gone already
-            pass
+            self.spark.conf.set(key, before)
 
 
 # ---------------------------------------------------------------- components

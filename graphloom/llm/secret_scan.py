@@ -6,6 +6,9 @@ short is dropped but still uses up its characters. Further kinds need a valid
 checksum or header: ``github`` and ``npm`` (CRC-32 in base 62), ``jwt`` (a JSON
 header with "alg"), ``pem`` (a private-key block's first line).
 
+Each character is read a bounded number of times for each kind, whatever the
+text: a run that fails as a ``jwt`` isn't begun again within itself.
+
 Null or empty texts have no spans. Rows are independent, so repeated rows give
 repeated results. Input columns named like an output are replaced.
 """
@@ -30,6 +33,7 @@ _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _GITHUB = re.compile("gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 _NPM = re.compile("npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 _JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+_JWT_RUN = re.compile("[A-Za-z0-9_-]*")
 _PEM = re.compile("-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
 #: keyword (lower case) to kind
 _WORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign", "akia": "access", "ghp_": "github", "gho_": "github", "ghu_": "github", "ghs_": "github", "ghr_": "github", "npm_": "npm", "eyj": "jwt", "-----begin ": "pem"}
@@ -49,7 +53,7 @@ def _checksum(body: str) -> str:
 def _header(part: str) -> bool:
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-    except (ValueError, TypeError):
+    except (ValueError, TypeError, RecursionError):  # RecursionError: brackets nested without end
         return False
 
 
@@ -96,6 +100,8 @@ class Scanner:
                     past[kind] = m.end()
                     if valid(m):
                         out[i].append((m.start(), m.end(), kind))
+                elif kind == "jwt":  # what stops this run stops every later one that begins in it
+                    past[kind] = _JWT_RUN.match(text, at).end()
             if not raw.isascii():  # bytes to code points
                 lead = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
                 out[i] = [(int(lead[a]), int(lead[b]), k) for a, b, k in out[i]]

@@ -7,8 +7,9 @@ Anchors whose hash occurs once in the corpus end the matter for their windows.
 Of the others, the bytes of their windows are gathered by the hash of the
 anchor, and all their windows are compared with each other. A passage is a
 maximal stretch of bytes that windows which occur more than once cover, so its
-borders are exact to the byte. The occurrence of a window with the smallest
-document id (and offset) is kept; the others are removable.
+borders are exact to the byte; one of fewer than ``words`` words isn't reported.
+The occurrence of a window with the smallest document id (and offset) is kept;
+the others are removable, and ``remove_passages`` cuts them out.
 
 Defined results: null or empty texts have no windows; rows that repeat both id
 and text are one document; null is an id like any other, and the last in order.
@@ -16,12 +17,15 @@ and text are one document; null is an id like any other, and the last in order.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm import scan
 
@@ -94,17 +98,22 @@ def _contexts(least: int):
                 h, at, last, doc = h[own], at[own], last[own], doc[own]
                 if not len(h):
                     continue
+                starts = scan.runs(s, scan.NONSPACE)[0]
+                before = np.searchsorted(starts, at) - np.searchsorted(starts, s.bounds[doc])
                 body = s.data.tobytes()
                 parts = [body[a:b] for a, b in zip(at.tolist(), (last + least).tolist(), strict=True)]
                 rows = pa.array(first + doc)
-                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at - s.bounds[doc]).astype(np.int32)), pa.array(parts, pa.binary())], names=["h", "doc_id", "row", "at", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at - s.bounds[doc]).astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(parts, pa.binary())], names=["h", "doc_id", "row", "at", "before", "body"])
 
     return run
 
 
 def _compare(least: int):
-    """Stretches of windows that occur more than once; ``later`` where an earlier occurrence is kept."""
-    names = ["doc_id", "row", "first", "last", "later"]
+    """Stretches of windows that occur more than once; ``later`` where an earlier occurrence is kept.
+
+    w0 and w1 count the words of the document that begin before the stretch and before its end.
+    """
+    names = ["doc_id", "row", "first", "last", "later", "w0", "w1"]
 
     def close(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -133,7 +142,11 @@ def _compare(least: int):
         last = np.concatenate([inner[end], many[code[again]] - 1])
         later = np.concatenate([state[new] == 2, np.ones(len(again), bool)])
         at = t.column("at").to_numpy()[rows].astype(np.int64)
-        cols = [t.column("doc_id").take(pa.array(rows)), t.column("row").take(pa.array(rows)), *[pa.chunked_array([pa.array(x)]) for x in (at + first, at + last, later)]]
+        begins = np.zeros(len(data) + 1, np.int64)
+        begins[2:] = np.cumsum(scan.NONSPACE[data[1:]] & ~scan.NONSPACE[data[:-1]] & ~np.isin(np.arange(1, len(data)), offs[:-1]))
+        base = offs[code[rows]]
+        words = t.column("before").to_numpy()[rows] - begins[base]
+        cols = [t.column("doc_id").take(pa.array(rows)), t.column("row").take(pa.array(rows)), *[pa.chunked_array([pa.array(x)]) for x in (at + first, at + last, later, words + begins[base + first], words + begins[base + last + least])]]
         yield from pa.Table.from_arrays(cols, names=names).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,41 +170,83 @@ def _compare(least: int):
     return run
 
 
-def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _union(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, words) of what the spans (start, end, words before either), in order, cover together."""
     out: list[list[int]] = []
-    for a, b in spans:
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    for a, b, w0, w1 in spans:
+        if not out or a > out[-1][1]:
+            out.append([a, b, w0, w1])
+        elif b > out[-1][1]:
+            out[-1][1], out[-1][3] = b, w1
+    return [(a, b, w1 - w0) for a, b, w0, w1 in out]
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 120) -> DataFrame:
-    """(doc_id, n_passages, n_bytes, n_removable, spans, removable) of the documents that have repeated passages.
+_SPANS = "array<struct<start: bigint, end: bigint>>"
 
-    Both lists are byte offsets; ``removable`` leaves out what is kept as a first occurrence.
-    """
+
+def _passages(docs: DataFrame, id_col: str, text: str, least: int, words: int) -> DataFrame:
+    """As repeated_passages, with ``row``, which tells the texts of an id apart."""
     named = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     named = named.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     hashes = named.select("row", "text").mapInArrow(_hashes(least), "row bigint, h bigint, n int")
-    often = hashes.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    # A table of its own, so that the join of a frequent hash with it is one that adaptive execution splits.
+    often = scan.Scratch(docs.sparkSession).save(hashes.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
     wanted = hashes.select("row", "h").join(often, "h").groupBy("row").agg(F.collect_set("h").alias("wanted"))
-    found = named.join(wanted, "row").select("doc_id", "row", "text", "wanted").mapInArrow(_contexts(least), "h bigint, doc_id bigint, row bigint, at int, body binary")
+    found = named.join(wanted, "row").select("doc_id", "row", "text", "wanted").mapInArrow(_contexts(least), "h bigint, doc_id bigint, row bigint, at int, before int, body binary")
     dealt = found.repartition("h").sortWithinPartitions(F.col("h"), F.col("doc_id").asc_nulls_last(), F.col("row"), F.col("at"))
-    spans = dealt.mapInArrow(_compare(least), "doc_id bigint, row bigint, first bigint, last bigint, later boolean")
-    own = spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("first", "last", "later"))).alias("c"))
+    spans = dealt.mapInArrow(_compare(least), "doc_id bigint, row bigint, first bigint, last bigint, later boolean, w0 bigint, w1 bigint")
+    own = spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("first", "last", "later", "w0", "w1"))).alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                all_ = _union([(x["first"], x["last"] + least) for x in found])
-                gone = _union([(x["first"], x["last"] + least) for x in found if x["later"]])
-                out.append((doc, len(all_), sum(b - a for a, b in all_), sum(b - a for a, b in gone), *([{"start": a, "end": b} for a, b in spans] for spans in (all_, gone))))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))] * 2
-            names = ["doc_id", "n_passages", "n_bytes", "n_removable", "spans", "removable"]
+            for doc, row, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                pieces = lambda xs: _union([(x["first"], x["last"] + least, x["w0"], x["w1"]) for x in xs])
+                all_ = [p for p in pieces(found) if p[2] >= words]
+                if not all_:
+                    continue
+                starts = [p[0] for p in all_]
+                gone = [g for g in pieces([x for x in found if x["later"]]) if (k := bisect_right(starts, g[0])) and g[1] <= all_[k - 1][1]]
+                out.append((doc, row, len(all_), sum(b - a for a, b, _ in all_), sum(b - a for a, b, _ in gone), *([{"start": a, "end": b} for a, b, _ in spans] for spans in (all_, gone))))
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))] * 2
+            names = ["doc_id", "row", "n_passages", "n_bytes", "n_removable", "spans", "removable"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return own.select("doc_id", "c").mapInArrow(run, "doc_id bigint, n_passages bigint, n_bytes bigint, n_removable bigint, spans array<struct<start: bigint, end: bigint>>, removable array<struct<start: bigint, end: bigint>>")
+    return own.select("doc_id", "row", "c").mapInArrow(run, f"doc_id bigint, row bigint, n_passages bigint, n_bytes bigint, n_removable bigint, spans {_SPANS}, removable {_SPANS}")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 120, words: int = 0) -> DataFrame:
+    """(doc_id, n_passages, n_bytes, n_removable, spans, removable) of the documents that have repeated passages.
+
+    Both lists are byte offsets; ``removable`` leaves out what is kept as a first occurrence.
+    """
+    return _passages(docs, id_col, text, least, words).drop("row")
+
+
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 120, words: int = 0) -> DataFrame:
+    """The documents, all columns, without the removable spans of their texts; a cut inside a character takes all of it."""
+    gone = _passages(docs, id_col, text, least, words).select(F.col("doc_id").alias("__gone_id"), F.col("row").alias("__gone_row"), F.col("removable").alias("__gone"))
+    number, body = F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text}`").cast("string")
+    joined = docs.join(gone, number.eqNullSafe(F.col("__gone_id")) & (F.xxhash64(number, body) == F.col("__gone_row")), "left").drop("__gone_id", "__gone_row")
+    k, names = docs.columns.index(text), docs.columns
+
+    def cut(whole: str, spans: list[dict]) -> str:
+        raw, at, parts = whole.encode(), 0, []
+        for x in spans:
+            parts.append(raw[at : x["start"]])
+            at = x["end"]
+        return b"".join([*parts, raw[at:]]).decode(errors="ignore")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.column(len(names)).is_valid()
+            rows = pa.array(np.flatnonzero(some.to_numpy(zero_copy_only=False)))
+            texts = batch.column(k)
+            new = [cut(*x) for x in zip(texts.take(rows).to_pylist(), batch.column(len(names)).take(rows).to_pylist(), strict=True)]
+            columns = [*batch.columns[: len(names)]]
+            columns[k] = pc.replace_with_mask(texts, some, pa.array(new, texts.type))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    out = T.StructType([T.StructField(c, T.StringType()) if c == text else docs.schema[c] for c in names])
+    return joined.select(*[body.alias(c) if c == text else F.col(f"`{c}`") for c in names], "__gone").mapInArrow(run, out)

@@ -8,7 +8,7 @@ from graphloom.llm.jaccard_join import near_classes
 from graphloom.llm.line_dedup import dedup_lines
 from graphloom.llm.quality import N_FEATURES, Forest, fit_forest, score_quality
 from graphloom.llm.scan import Scratch
-from graphloom.llm.substring_dedup import repeated_passages
+from graphloom.llm.substring_dedup import remove_passages, repeated_passages
 
 import numpy as np
 
@@ -37,6 +37,13 @@ def test_decontamination(spark, docs, none):
     assert find_hits(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize(("share", "left"), [(0.05, 4), (0.3, 4), (0.86, 4), (0.87, 6), (0.9, 6)])
+def test_decontamination_share(spark, docs, share, left):
+    """13 of the 15 words are hit: 0.8666..."""
+    bench = spark.createDataFrame([(1, WORDS)], "item_id long, text string")
+    assert drop_contaminated(docs, bench, share).count() == left
+
+
 def test_decontamination_in_blocks(spark, docs):
     bench = spark.createDataFrame([(1, WORDS), (2, WORDS + " xi")], "item_id long, text string")
     pick = lambda df: sorted((r.doc_id or 0, r.n_hit, tuple(r["items"]), tuple(map(tuple, r.spans))) for r in df.collect())
@@ -49,6 +56,32 @@ def test_line_dedup(spark, docs, none):
     assert {r.doc_id: r.text for r in dedup_lines(two).collect()} == {1: "a\nb\nc\nd", 2: "x\ny"}
 
 
+def test_line_dedup_rows_that_share_an_id(spark):
+    """Lines of one row don't fall to those of another; rows that repeat an id and a text are treated alike."""
+    rows = [(1, "a\nb\nc\nd"), (1, "x\ny\nz\na\nb\nc"), (None, "x\ny\nz\nown"), (2, "p\nq\nr"), (2, "p\nq\nr")]
+    left = sorted(r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert "".join(left).count("d") == 1 and "own" in "".join(left) and left.count("p\nq\nr") == 2
+    assert sum(t.split("\n").count("a") for t in left) == 1 and sum(t.split("\n").count("y") for t in left) == 1
+
+
+def test_line_dedup_regular_texts(spark):
+    """Texts that a hash modulo a power of two mistakes for each other (Thue-Morse and its complement)."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{morse}\nsame\nlines"), (2, f"{other}\nsame\nlines"), (3, f"{morse}\nsame\nlines\nand more")]
+    assert {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: rows[0][1], 2: rows[1][1], 3: "and more"}
+
+
+def test_line_dedup_long_log_and_names(spark):
+    """A log of 200,000 lines, half of them repeated, with columns named like the results."""
+    lines = [f"line {i}" for i in range(100_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines + lines), 5), (2, None, 6), (3, "", 7)], "doc_id long, text string, N_Lines int")
+    got = {r.doc_id: r for r in dedup_lines(df, counts=True).collect()}
+    assert got[1].text == "\n".join(lines) and (got[1].n_lines, got[1].n_removed) == (200_000, 100_000)
+    assert [(got[i].text, got[i].n_lines, got[i].n_removed) for i in (2, 3)] == [(None, 0, 0), ("", 1, 0)]
+    assert dedup_lines(df).columns == df.columns
+
+
 def test_jaccard(spark, docs, none):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in near_classes(docs, Scratch(spark)).collect())
     assert [x for x in got if x[0] == 3] == [(3, 11, 3)] * 2 and len(got) == len(ROWS)
@@ -86,6 +119,30 @@ def test_embeddings(spark):
     assert near_dups(df.limit(0), Scratch(spark)).count() == 0
 
 
+def test_embeddings_shared_ids_lengths_and_scales(spark):
+    """Two vectors with one id, vectors of two lengths, and lengths near the ends of the range of doubles."""
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.0, 2.0], 1), (3, [1.0, 0.0, 0.0], 1), (4, [1e200, 1e200], 1), (5, [1e-200, 1e-200], 1), (None, [0.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in near_dups(df, Scratch(spark)).collect())
+    assert got == [(0, 0, 0), (1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 1, 4), (5, 1, 4)]
+
+
+@pytest.mark.parametrize("cosine", [0.981, 0.985, 0.995])
+def test_embeddings_planted_pairs(spark, cosine):
+    """Recall of planted pairs by cosine, among vectors that link with nothing else; several chunks a list."""
+    rnd = np.random.default_rng(7)
+    a = rnd.normal(size=(2000, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rnd.normal(size=a.shape)
+    b -= (a * b).sum(1)[:, None] * a
+    b = cosine * a + (1 - cosine**2) ** 0.5 * b / np.linalg.norm(b, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(np.stack([a, b], 1).reshape(-1, 64).tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_dups(df, Scratch(spark), chunk=64).collect()}
+    found = sum(got[i] == (1, i - i % 2) for i in got)
+    print("recall", cosine, found / len(got))
+    assert found >= 0.95 * len(got) and all(n <= 1 for n, _ in got.values())
+
+
 @pytest.mark.parametrize("share", [0.1, 0.33])
 def test_embeddings_hot_group(spark, share):
     """Links in a large group of near copies, against brute force."""
@@ -146,6 +203,21 @@ def test_passages_brute_force(spark):
     assert {d: r.n_removable for d, r in got.items()} == {d: len(w[1]) for d, w in want.items()}
 
 
+def test_passages_by_words_and_removal(spark):
+    """Passages of fewer words than asked for stay; the text without the removable spans is what is left."""
+    rnd = np.random.default_rng(6)
+    words = lambda n: " ".join(f"é{x}" for x in rnd.integers(0, 10**6, n))
+    long, short = words(51), words(30)
+    rows = [(1, f"{words(20)} {long} {words(20)}", "a"), (2, f"{words(30)}. {long}", "b"), (3, f"{words(9)}; {short}", "c"), (4, f"{short}: {words(9)}", "d"), (5, None, "e"), (None, long, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    assert {r.doc_id for r in repeated_passages(df, words=50).collect()} == {1, 2, None}
+    assert {r.doc_id for r in repeated_passages(df, words=30).collect()} == {1, 2, 3, 4, None}
+    left = remove_passages(df, words=50)
+    assert left.columns == df.columns
+    got = {r.row: r.text for r in left.collect()}
+    assert got == {"a": rows[0][1], "b": rows[1][1][: -len(long) - 1], "c": rows[2][1], "d": rows[3][1], "e": None, "f": ""}
+
+
 def test_pipeline_near_duplicates_keeps_one_row(spark):
     """Rows that repeat an id, or have none, are rows of their own; one of each group stays."""
     import corpus_pipeline

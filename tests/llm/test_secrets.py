@@ -27,3 +27,37 @@ def test_base_spans(spark):
 
 def test_empty(spark):
     assert scan_secrets(spark.createDataFrame([], "id long, text string")).count() == 0
+
+
+def test_hostile_texts(spark):
+    """Headers nested without end, and runs that begin a token at every third character."""
+    import base64
+    import time
+
+    nested = base64.urlsafe_b64encode(b"[" * 200_000).decode().rstrip("=")
+    good = base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip("=")
+    texts = [f"eyJ{nested}.a.b", "eyJ" * 330_000, "eyJ" * 1000 + f" {good}.abc.def", "eyJ." * 200_000, "token " * 100_000, "password" + " " * 500_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(1)
+    scan_secrets(df.limit(1)).collect()
+    began = time.time()
+    got = {r.id: [x.kind for x in r.secrets] for r in scan_secrets(df).collect()}
+    assert time.time() - began < 20
+    assert got == {0: [], 1: [], 2: ["jwt"], 3: [], 4: [], 5: []}
+
+
+def test_query_against_plain_expressions(spark):
+    """The columns of op10's query, whole, from plain expressions."""
+    import hashlib
+
+    from graphloom.llm import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()}
+    got = {r.doc_id: r for r in Q.op10_secrets(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        base = brute(t)
+        r = got[i]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[0] == k for x in base) for k in ("assign", "access", "hex"))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(","))
