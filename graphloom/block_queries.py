@@ -58,6 +58,12 @@ def term_groups(spark, d):
     return N.by_terms(index, "p_partkey", [[("p_brand", "Brand#2"), ("p_type", "ECONOMY")], [("p_brand", "Brand#17")]])
 
 
+def composite_terms(spark, d):
+    """How many customers each (segment, nation) has, by one term for both."""
+    c = _t(spark, d, "customer").withColumn("term", N.composite_term(["c_mktsegment", "c_nationkey"]))
+    return A.document_frequency(c, "c_custkey", ["term"])
+
+
 # ------------------------------------------------------------ scans and pages
 
 
@@ -268,7 +274,7 @@ def validated(spark, d):
     return S.validate(own, kind).select("p_partkey", "p_origin", F.array_join("errors", ",").alias("errors"))
 
 
-QUERIES = {f.__name__: f for f in (cel_error_false, cel_arithmetic, cel_functions, typed_filter, quick_filter, term_groups, find_first_page, keyset_two_keys, limit_then_offset, page_by_cursor, scan_by_value, point_lookup, both_multigraph, list_edges_ordered, fan_out_cap, degree_in_both, paths_two_hops, paths_continued, recurse_four_hops, cascade_delete, orphans_of_type, group_orders, above_average, term_frequency, unique_breaks, price_percentiles, delete_scope, block_union, block_intersect, block_difference, block_sorted_page, block_terms, block_siblings, block_nested, block_cascade, block_top_facets, block_recurse, block_point, block_groups, validated)}
+QUERIES = {f.__name__: f for f in (cel_error_false, cel_arithmetic, cel_functions, typed_filter, quick_filter, term_groups, composite_terms, find_first_page, keyset_two_keys, limit_then_offset, page_by_cursor, scan_by_value, point_lookup, both_multigraph, list_edges_ordered, fan_out_cap, degree_in_both, paths_two_hops, paths_continued, recurse_four_hops, cascade_delete, orphans_of_type, group_orders, above_average, term_frequency, unique_breaks, price_percentiles, delete_scope, block_union, block_intersect, block_difference, block_sorted_page, block_terms, block_siblings, block_nested, block_cascade, block_top_facets, block_recurse, block_point, block_groups, validated)}
 
 _EDGES = "e AS (SELECT 'Customer' AS src_type, c_custkey AS src_id, 'IN_NATION' AS label, 'Nation' AS dst_type, CAST(c_nationkey AS BIGINT) AS dst_id FROM customer UNION ALL SELECT 'Supplier', s_suppkey, 'IN_NATION', 'Nation', s_nationkey FROM supplier UNION ALL SELECT 'Nation', n_nationkey, 'IN_REGION', 'Region', n_regionkey FROM nation UNION ALL SELECT 'Customer', o_custkey, 'PLACED', 'Order', o_orderkey FROM orders)"
 _SETS = "WITH x AS (SELECT c_custkey AS uid, c_mktsegment FROM customer WHERE c_acctbal > 3000), y AS (SELECT c_custkey AS uid, c_mktsegment FROM customer WHERE c_nationkey < 10), z AS (SELECT c_custkey AS uid, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) "
@@ -280,6 +286,7 @@ ORACLE_SQL = {
     "typed_filter": "SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal BETWEEN 1000 AND 2000 OR c_name IS NULL",
     "quick_filter": "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O'",
     "term_groups": "SELECT p_partkey FROM part WHERE p_brand = 'Brand#2' AND p_type = 'ECONOMY' OR p_brand = 'Brand#17'",
+    "composite_terms": "SELECT 'term' AS field, concat(len(c_mktsegment), ':', c_mktsegment, len(CAST(c_nationkey AS VARCHAR)), ':', c_nationkey) AS value, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL AND c_nationkey IS NOT NULL GROUP BY ALL",
     "find_first_page": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1000",
     "keyset_two_keys": "SELECT o_custkey, o_orderkey FROM orders WHERE (o_custkey, o_orderkey) > (3, 10) ORDER BY o_custkey, o_orderkey LIMIT 200",
     "limit_then_offset": "SELECT o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50) ORDER BY o_orderkey OFFSET 35",

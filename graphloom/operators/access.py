@@ -58,6 +58,18 @@ def schema_owner_allows(owners: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.join(own, ["database", "namespace"], "left").withColumn("allowed", F.col("__owner").isNull() | (F.col("__owner") == F.col("site"))).drop("__owner")
 
 
+class NotOwner(PermissionError):
+    code = "ERR_NOT_SCHEMA_OWNER"
+
+
+def set_schema_owner(owners: dict[tuple[str, str], int], database: str, namespace: str, site: int, actor: int) -> dict[tuple[str, str], int]:
+    """The owners with one set: of a namespace without one by anybody, else by its owner only."""
+    now = owners.get((database, namespace))
+    if now is not None and now != actor:
+        raise NotOwner(f"{database}/{namespace} is of site {now}")
+    return owners | {(database, namespace): site}
+
+
 def lease(holder: str | None, epoch: int, expires: int, who: str, now: int, ttl: int) -> tuple[bool, str | None, int, int]:
     """(granted, holder, epoch, expires): the holder renews; another takes over when it has run out, one epoch on."""
     if holder == who and now <= expires:

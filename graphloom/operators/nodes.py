@@ -166,3 +166,9 @@ def by_terms(index: DataFrame, key: str, groups: list[list[tuple[str, str]]]) ->
     found = index.where(wanted).groupBy(key).agg(*[hit(f, v).alias(f"t{i}") for i, (f, v) in enumerate(terms)])
     has = [reduce(lambda a, b: a & b, [F.col(f"t{terms.index(t)}") for t in g]) for g in groups]
     return found.where(reduce(lambda a, b: a | b, has)).select(key)
+
+
+def composite_term(fields: list[str]) -> Column:
+    """Several properties as one term, null if any is: equal only where all are, whatever the values hold."""
+    parts = [F.concat(F.length(F.col(f).cast("string")).cast("string"), F.lit(":"), F.col(f).cast("string")) for f in fields]
+    return F.concat(*parts)

@@ -46,7 +46,9 @@ def _step(hop: dict, edges: DataFrame, nodes: Nodes | None, frontier: DataFrame,
     """The nodes that a hop arrives at first, with their paths."""
     if hop.get("node_filter") and not nodes:
         raise ValueError("a node filter needs the nodes")
-    own = E.oriented(edges, hop.get("direction", "OUT"), hop.get("labels"), hop.get("edge_filter", ""), frontier.select(*NODE), hop.get("target"))
+    # the join below needs no filter by the frontier; ranking the edges of each source does
+    near_only = frontier.select(*NODE) if hop.get("top") else None
+    own = E.oriented(edges, hop.get("direction", "OUT"), hop.get("labels"), hop.get("edge_filter", ""), near_only, hop.get("target"))
     if hop.get("top"):
         own = E.top_edges(own, hop["top"], hop.get("order"))
     facets = [F.col(c).cast("string").alias(c) for c in hop.get("facets", [])]

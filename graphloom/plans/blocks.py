@@ -23,7 +23,7 @@ from graphloom.functions.fields import Field, with_params
 from graphloom.operators import aggregate as A
 from graphloom.operators import edges as E
 from graphloom.operators import nodes as N
-from graphloom.operators.traversal import NODE, matching
+from graphloom.operators.traversal import NODE, Traversal, matching, traverse
 
 
 class QueryError(ValueError):
@@ -164,12 +164,35 @@ def in_order(blocks: list[Block]) -> list[Block]:
     return out
 
 
+def watched(block: Block, params: dict | None = None) -> tuple[str, str]:
+    """(type, filter) of a watch for what a block finds: its root's filter and its own together."""
+    if block.root.blocks or block.root.type is None:
+        raise QueryError("a watch needs a root of a type")
+    if block.root.id is not None:
+        raise QueryError("watch one node as a point")
+    parts = [with_params(c, params or {}) for c in (block.root.cel, block.filter) if c]
+    return block.root.type, " && ".join(f"({c})" for c in parts)
+
+
 class Graph:
     """Nodes by type (frame, id column) and one frame of edges."""
 
     def __init__(self, nodes: dict[str, tuple[DataFrame, str]], edges: DataFrame):
         self.nodes, self.edges = nodes, edges
 
+    def find(self, type_: str, cel: str = "", fields: list[str] | None = None, limit: int | None = N.DEFAULT_LIMIT, offset: int = 0, after: tuple | None = None) -> DataFrame:
+        """Nodes of a type in id order, the id with them."""
+        df, key = self._typed(type_)
+        return N.find(df, cel, fields, [key], limit, offset, after, (key,) if fields is not None else ())
+
+    def traverse(self, start: DataFrame, hops: list[dict], **bounds) -> Traversal:
+        return traverse(start, self.edges, hops, self.nodes, **bounds)
+
+    def degree(self, type_: str, direction: str = "OUT", labels: list[str] | None = None) -> DataFrame:
+        """(key, degree) of the nodes of a type."""
+        df, key = self._typed(type_)
+        return E.degree(df.select(key), key, E.oriented(self.edges, direction, labels), type_)
+
     def _typed(self, kind: str) -> tuple[DataFrame, str]:
         if kind not in self.nodes:
             raise QueryError(f"no type {kind!r}")
@@ -187,7 +210,8 @@ class Graph:
 
     def _step(self, x: Expand, front: DataFrame, params: dict) -> DataFrame:
         """(root_type, root_id, node_type, node_id, facets...) one hop on from (root_type, root_id, node_type, node_id)."""
-        own = E.oriented(self.edges, x.direction, x.labels, with_params(x.edge, params), front.select(*NODE).distinct(), x.target)
+        near_only = front.select(*NODE).distinct() if x.limit is not None else None
+        own = E.oriented(self.edges, x.direction, x.labels, with_params(x.edge, params), near_only, x.target)
         if x.limit is not None:
             by = [F.col(c).desc() if down else F.col(c).asc() for c, down in x.sort]
             own = E.top_edges(own, x.limit, by + E.in_order(own))

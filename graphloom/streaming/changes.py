@@ -93,3 +93,15 @@ def transitions(log: DataFrame, keys: list[str], version: str, cel: str, op: str
     if op is not None:
         event = F.when((F.col(op) == "NodeDelete") & F.col("__was"), "DELETE").when((F.col(op) == "OwnershipTransfer") & F.col("__was"), "UPDATE").otherwise(event)
     return seen.withColumn("event", event).where(F.col("event").isNotNull()).drop("__now", "__was")
+
+
+def read_state(log: DataFrame, snapshot: DataFrame, snapshot_version: int, consistency: str = "strong", required: int | None = None) -> DataFrame:
+    """Nodes as of the end of the log (``strong``), of any snapshot (``eventual``), or of one that has ``required`` (``session``).
+
+    The snapshot is an earlier result of fold_nodes; a session that it is too old for reads the log.
+    """
+    if consistency not in ("strong", "session", "eventual"):
+        raise ValueError(f"no consistency {consistency!r}")
+    if consistency == "eventual" or (consistency == "session" and required is not None and snapshot_version >= required):
+        return snapshot
+    return fold_nodes(log)

@@ -9,10 +9,11 @@ from graphloom.functions.cel import CelSyntaxError, CelTypeError, compile_cel
 from graphloom.functions.fields import Fields, with_params
 from graphloom.operators import access as X
 from graphloom.operators import edges as E
+from graphloom.operators import limits
 from graphloom.operators import nodes as N
 from graphloom.operators import traversal as W
 from graphloom.plans import blocks as B
-from graphloom.sources import datasets, schema as S
+from graphloom.sources import datasets, output, schema as S
 
 PEOPLE = [("p_alice", "Alice", 34, "San Francisco"), ("p_bob", "Bob", 29, "San Francisco"), ("p_carol", "Carol", 31, "New York"), ("p_dan", "Dan", 27, "Austin"), ("p_eve", "Eve", 36, "Seattle")]
 FOLLOWS = [("p_alice", "follows", "p_bob"), ("p_alice", "follows", "p_carol"), ("p_bob", "follows", "p_dan"), ("p_carol", "follows", "p_eve"), ("p_bob", "works_with", "p_carol"), ("p_alice", "works_with", "p_eve")]
@@ -200,6 +201,19 @@ def test_blocks(spark, social):
     assert "== old ==" in g.explain([B.Block("old", B.has("Person", "age"))])
 
 
+def test_graph(spark, social):
+    g = B.Graph(social.nodes, social.edges)
+    assert [r.name for r in g.find("Person", "age > 28", ["name"], limit=2, after=(0,)).collect()] == ["Bob", "Carol"]
+    assert g.find("Person").count() == 5
+    assert _names(social, g.traverse(_at(social, "p_alice"), [{"labels": ["follows"]}]).paths) == "BC"
+    assert {r.node_id: r.degree for r in g.degree("Person", "OUT", ["follows"]).collect()} == {0: 2, 1: 1, 2: 1, 3: 0, 4: 0}
+    assert B.watched(B.Block("b", B.ge("Person", "age", 30), filter="city == $c"), {"c": "x"}) == ("Person", "(age >= 30) && (city == 'x')")
+    assert B.watched(B.Block("b", B.allofterms("Person", "city", "new"))) == ("Person", "(allofterms(city, 'new'))")
+    for bad in (B.uid("Person", 1), B.uid_of("x")):
+        with pytest.raises(B.QueryError):
+            B.watched(B.Block("b", bad))
+
+
 @pytest.mark.parametrize(
     "blocks",
     [
@@ -246,6 +260,30 @@ def test_catalog(spark):
     assert c.table(spark).count() == 3
 
 
+def test_output(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,\"b\"", [1, 2], bytearray(b"x")), (2, None, None, None)], "k int, s string, xs array<int>, b binary")
+    output.save(df, f"{tmp_path}/j")
+    output.save(df, f"{tmp_path}/c", "csv")
+    assert sorted(r.k for r in spark.read.json(f"{tmp_path}/j").collect()) == [1, 2]
+    assert [tuple(r) for r in spark.read.option("header", "true").option("escape", '"').csv(f"{tmp_path}/c").orderBy("k").collect()] == [("1", 'a,"b"', "[1,2]", "eA=="), ("2", None, None, None)]
+    assert output.table(df.orderBy("k").select("k", "xs")).splitlines() == ["k | xs", "--+------", "1 | [1,2]", "2 |"]
+    with pytest.raises(ValueError):
+        output.save(df, f"{tmp_path}/x", "xml")
+
+
+def test_limits(spark):
+    slow = F.udf(lambda x: __import__("time").sleep(30) or x, "long")
+    with pytest.raises(limits.TimedOut):
+        limits.within(spark, 1.5, lambda: spark.range(8).select(slow("id")).collect())
+    assert limits.within(spark, 60, lambda: spark.range(8).count()) == 8
+    guard = limits.Guard(spark.range(100), most_rows=99)
+    assert guard.rows.collect() and not guard.check(degrade=True)
+    with pytest.raises(limits.TooLarge):
+        guard.check()
+    guard = limits.Guard(spark.range(100), most_rows=100)
+    assert guard.rows.collect() and guard.check()
+
+
 def test_numbered(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"))
     assert all(r.k == r.n for r in datasets.numbered(df, ["k"], "n").collect())
@@ -268,6 +306,10 @@ def test_roles_and_leases(spark):
     assert X.lease("a", 1, 15, "a", 12, 10) == (True, "a", 1, 22)
     assert X.lease("a", 1, 15, "b", 12, 10) == (False, "a", 1, 15)
     assert X.lease("a", 1, 15, "b", 16, 10) == (True, "b", 2, 26)
+    mine = X.set_schema_owner({}, "d", "n", 1, 7)
+    assert X.set_schema_owner(mine, "d", "n", 2, 1) == {("d", "n"): 2}
+    with pytest.raises(X.NotOwner):
+        X.set_schema_owner(mine, "d", "n", 2, 2)
     owners = spark.createDataFrame([("d", "n", 1)], "database string, namespace string, site int")
     asked = spark.createDataFrame([("d", "n", 1), ("d", "n", 2), ("d", "m", 2)], "database string, namespace string, site int")
     assert sorted((r.namespace, r.site, r.allowed) for r in X.schema_owner_allows(owners, asked).collect()) == [("m", 2, True), ("n", 1, True), ("n", 2, False)]

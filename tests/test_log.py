@@ -46,6 +46,15 @@ def test_fold_nodes(spark, logs):
         assert {r.id: r.props for r in C.fold_nodes(log, cut).collect()} == live
 
 
+def test_read_state(spark, logs):
+    _, log = logs
+    old = C.fold_nodes(log, 150)
+    assert C.read_state(log, old, 150, "eventual") is old and C.read_state(log, old, 150, "session", 100) is old
+    assert C.read_state(log, old, 150, "session", 300).count() == C.read_state(log, old, 150).count() == C.fold_nodes(log).count()
+    with pytest.raises(ValueError):
+        C.read_state(log, old, 150, "maybe")
+
+
 def test_fold_edges(spark, logs):
     rows, log = logs
     live = set()
