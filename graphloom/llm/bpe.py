@@ -205,6 +205,10 @@ _ODD = regex.compile("[\x1c-\x1f]")
 _SPLIT = regex.compile(f"[{SPACES}]+")
 
 
+#: Longer chunks are encoded anew each time.
+KEPT = 64
+
+
 class Vocabulary:
     """One vocabulary file. ``word_end``: lower-cased words with a word end; else byte-level with leading spaces."""
 
@@ -324,12 +328,15 @@ class Vocabulary:
                 else:
                     out.extend(chain.from_iterable(map(get, part)))
             yield out
+        for w in new:  # what is kept is bounded in bytes too
+            if len(w) > KEPT:
+                self.known.pop(w, None)
 
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
         out = self.known.get(chunk)
         if out is None:
             out = tuple(i for p in self.pieces(chunk) for i in self.encode_piece(p.encode()))
-            if len(chunk) <= 64:
+            if len(chunk) <= KEPT:
                 if len(self.known) >= self.bound:
                     self.known.clear()
                 self.known[chunk] = out

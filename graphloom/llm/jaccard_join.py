@@ -22,7 +22,9 @@ lost, while a large group of copies doesn't cost the square of its size. Only
 components are asked for, so links within one are not all named.
 
 Defined results: a null, empty or wordless text has no shingles and is alone;
-rows that share an id are compared as they are and share a component.
+rows that share an id are compared as they are and share a component. A row with
+a null id is in the component of the texts that equal its own, and else in none
+(null).
 """
 
 from __future__ import annotations
@@ -326,7 +328,7 @@ def near_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     postings = named.mapInArrow(_postings(buckets, heavy), "bucket int, tokens binary, owners binary, sizes binary, ns binary")
     shared = postings.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(buckets, heavy, counts, sized.count()), "part int, tokens binary, owners binary, sizes binary, ns binary, dfs binary")
     indexed = shared.repartition(2 * buckets, "part").sortWithinPartitions("part").mapInArrow(*_indexed(percent, orders))
-    live = scratch.save(indexed.join(classes.select("f1", "rep"), "f1"), batch_bytes=4 << 20)
+    live = scratch.save(indexed.join(classes.where("rep IS NOT NULL").select("f1", "rep"), "f1"), batch_bytes=4 << 20)
     cand = _Candidates(live, percent, orders)
     links, known = None, live.withColumn("comp", F.col("rep"))
     for name, pairs in (("heads", cand.by_heads), ("all", cand.by_tokens)):

@@ -82,8 +82,15 @@ def _hashes(least: int):
     return run
 
 
+_PLACES = "doc_ids array<bigint>, rows array<bigint>, ats array<int>, befores array<int>"
+
+
 def _contexts(least: int):
-    """The bytes of the windows of each anchor whose hash is in the list of its text."""
+    """The bytes of the windows of each anchor whose hash is in the list of its text, and the places that have them.
+
+    Equal bytes within a slice are one row, so that copies and texts that repeat
+    themselves make few rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,9 +108,15 @@ def _contexts(least: int):
                 starts = scan.runs(s, scan.NONSPACE)[0]
                 before = np.searchsorted(starts, at) - np.searchsorted(starts, s.bounds[doc])
                 body = s.data.tobytes()
-                parts = [body[a:b] for a, b in zip(at.tolist(), (last + least).tolist(), strict=True)]
-                rows = pa.array(first + doc)
-                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at - s.bounds[doc]).astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(parts, pa.binary())], names=["h", "doc_id", "row", "at", "before", "body"])
+                coded = pa.array([body[a:b] for a, b in zip(at.tolist(), (last + least).tolist(), strict=True)], pa.binary()).dictionary_encode()
+                code = coded.indices.to_numpy()
+                order = np.argsort(code, kind="stable")
+                many = np.bincount(code, minlength=len(coded.dictionary))
+                head = order[np.cumsum(many) - many]
+                listed = lambda values: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), values)
+                rows = pa.array((first + doc)[order])
+                places = [listed(batch.column(0).take(rows)), listed(batch.column(1).take(rows)), listed(pa.array((at - s.bounds[doc])[order].astype(np.int32))), listed(pa.array(before[order].astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([pa.array(h[head]), *places, coded.dictionary], names=["h", "doc_ids", "rows", "ats", "befores", "body"])
 
     return run
 
@@ -117,12 +130,22 @@ def _compare(least: int):
 
     def close(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
-        keys = [t.column(k).to_numpy() for k in ("h", "row", "at")]
-        t = t.filter(pa.array(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])))
+        lists = {c: pa.concat_arrays([x for x in t.column(c).chunks]) for c in ("doc_ids", "rows", "ats", "befores")}
+        of = np.repeat(np.arange(t.num_rows), np.diff(lists["rows"].offsets.to_numpy()))
+        doc_ids, rows_of, at, before = (lists[c].flatten() for c in lists)
+        h, row_of, at, before = (x.to_numpy() for x in (t.column("h"), rows_of, at, before))
+        h = h[of]
+        # by anchor, and then as documents are ordered
+        order = np.lexsort((at, row_of, pc.fill_null(doc_ids, 0).to_numpy(), doc_ids.is_null().to_numpy(zero_copy_only=False), h))
+        of, h, row_of, at, before = of[order], h[order], row_of[order], at[order], before[order]
+        new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in (h, row_of, at)], axis=0)]))
+        of, at, before, doc_ids, rows_of = of[new], at[new].astype(np.int64), before[new], doc_ids.take(pa.array(order[new])), pa.array(row_of[new])
         # Equal bodies are hashed once; the dictionary has them in the order of their first rows.
         coded = pa.concat_arrays(t.column("body").chunks).dictionary_encode()
-        code, body = coded.indices.to_numpy(), coded.dictionary
-        _, head, copies = np.unique(code, return_index=True, return_counts=True)
+        kinds, head, code, copies = np.unique(coded.indices.to_numpy()[of], return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(head)
+        head, copies, body = head[order], copies[order], coded.dictionary.take(pa.array(kinds[order]))
+        code = np.argsort(order)[code]
         offs = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
         data = np.frombuffer(body.buffers()[2], np.uint8)[offs[0] : offs[-1]]
         offs = offs - offs[0]
@@ -141,12 +164,11 @@ def _compare(least: int):
         first = np.concatenate([inner[new], np.zeros(len(again), np.int64)])
         last = np.concatenate([inner[end], many[code[again]] - 1])
         later = np.concatenate([state[new] == 2, np.ones(len(again), bool)])
-        at = t.column("at").to_numpy()[rows].astype(np.int64)
         begins = np.zeros(len(data) + 1, np.int64)
         begins[2:] = np.cumsum(scan.NONSPACE[data[1:]] & ~scan.NONSPACE[data[:-1]] & ~np.isin(np.arange(1, len(data)), offs[:-1]))
         base = offs[code[rows]]
-        words = t.column("before").to_numpy()[rows] - begins[base]
-        cols = [t.column("doc_id").take(pa.array(rows)), t.column("row").take(pa.array(rows)), *[pa.chunked_array([pa.array(x)]) for x in (at + first, at + last, later, words + begins[base + first], words + begins[base + last + least])]]
+        words, at = before[rows] - begins[base], at[rows]
+        cols = [pa.chunked_array([x]) for x in (doc_ids.take(pa.array(rows)), rows_of.take(pa.array(rows)))] + [*[pa.chunked_array([pa.array(x)]) for x in (at + first, at + last, later, words + begins[base + first], words + begins[base + last + least])]]
         yield from pa.Table.from_arrays(cols, names=names).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +214,8 @@ def _passages(docs: DataFrame, id_col: str, text: str, least: int, words: int) -
     # A table of its own, so that the join of a frequent hash with it is one that adaptive execution splits.
     often = scan.Scratch(docs.sparkSession).save(hashes.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
     wanted = hashes.select("row", "h").join(often, "h").groupBy("row").agg(F.collect_set("h").alias("wanted"))
-    found = named.join(wanted, "row").select("doc_id", "row", "text", "wanted").mapInArrow(_contexts(least), "h bigint, doc_id bigint, row bigint, at int, before int, body binary")
-    dealt = found.repartition("h").sortWithinPartitions(F.col("h"), F.col("doc_id").asc_nulls_last(), F.col("row"), F.col("at"))
+    found = named.join(wanted, "row").select("doc_id", "row", "text", "wanted").mapInArrow(_contexts(least), f"h bigint, {_PLACES}, body binary")
+    dealt = found.repartition("h").sortWithinPartitions("h")
     spans = dealt.mapInArrow(_compare(least), "doc_id bigint, row bigint, first bigint, last bigint, later boolean, w0 bigint, w1 bigint")
     own = spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("first", "last", "later", "w0", "w1"))).alias("c"))
 

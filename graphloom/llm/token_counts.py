@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphloom.llm import scan
-from graphloom.llm.bpe import Vocabulary
+from graphloom.llm.bpe import KEPT, Vocabulary
 
 
 class PrefixCounter:
@@ -158,6 +158,9 @@ class PrefixCounter:
         self.learn(new)
         for special, own in split:
             yield special + sum(map(self.known.__getitem__, own))
+        for c in new:  # what is kept is bounded in bytes too
+            if len(c) > KEPT:
+                self.known.pop(c, None)
 
     def text_prefixes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(byte offsets, counts): the count at every byte of the text, 0 first."""
@@ -205,3 +208,43 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 51
         return work
 
     return scan.append_columns(docs, text, "n_bytes bigint, n_tokens bigint, over_limit boolean", make)
+
+
+def truncate_tokens(docs: DataFrame, path: str, budget: int, text: str = "text") -> DataFrame:
+    """``docs`` with truncated: the longest prefix of each text, ending with a character, of at most ``budget`` tokens.
+
+    A null text stays null.
+    """
+
+    def make():
+        counter = PrefixCounter(Vocabulary.load(path))
+
+        def work(texts: pa.Array) -> list:
+            out: list[str | None] = []
+            for k in range(0, len(texts), 500):
+                part = texts.slice(k, 500).to_pylist()
+                out += [t if t is None or n <= budget else counter.truncate(t, budget) for t, n in zip(part, counter.count_all(part), strict=True)]
+            return [pa.array(out, pa.string())]
+
+        return work
+
+    return scan.append_columns(docs, text, "truncated string", make)
+
+
+def prefix_counts_at(docs: DataFrame, path: str, every: int, text: str = "text") -> DataFrame:
+    """``docs`` with prefix_tokens: array<bigint>, the exact counts of the prefixes of every, 2 * every, ... bytes (counted as bytes)."""
+
+    def make():
+        counter = PrefixCounter(Vocabulary.load(path))
+
+        def work(texts: pa.Array) -> list:
+            out = []
+            for t in texts.to_pylist():
+                offs, counts = counter.text_prefixes(t or "")
+                wanted = np.arange(every, int(offs[-1]) + 1, every)
+                out.append(counts[np.searchsorted(offs, wanted)].tolist())
+            return [pa.array(out, pa.list_(pa.int64()))]
+
+        return work
+
+    return scan.append_columns(docs, text, "prefix_tokens array<bigint>", make)

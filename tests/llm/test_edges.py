@@ -88,6 +88,66 @@ def test_jaccard(spark, docs, none):
     assert near_classes(none, Scratch(spark)).count() == 0
 
 
+def _components(texts):
+    """id -> smallest id that it reaches, by comparing all with all."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    best, at = {i: i for i in sets}, sorted(sets)
+    links = [(a, b) for k, a in enumerate(at) for b in at[k + 1 :] if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    before = None
+    while before != best:
+        before = dict(best)
+        for a, b in links:
+            best[a] = best[b] = min(best[a], best[b])
+    return best, links
+
+
+def test_jaccard_links_come_through_the_orders(spark):
+    """Every link is a candidate of the intersected orders; what they name isn't all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    trace = []
+    out = near_classes(docs, Scratch(spark), trace=trace)
+    assert [t[0] for t in trace] == ["heads", "all"]
+    assert all(named >= candidates >= links for _, named, candidates, links in trace)
+    classes = out.groupBy("component_id").count().count()
+    texts = docs.select("text").distinct().count()
+    assert 0 < texts - classes <= sum(t[3] for t in trace) < sum(t[1] for t in trace) < 1000
+
+
+def test_jaccard_hot_group(spark):
+    """A group of near copies that holds half of all rows, and chains through it and beside it."""
+    rnd = np.random.default_rng(8)
+    words = lambda n: [f"w{x}" for x in rnd.integers(0, 10**6, n)]
+    base = words(120)
+    texts = {}
+    for i in range(200):
+        own = list(base)
+        for p in rnd.integers(0, 120, 1 + i % 4):
+            own[p] = f"x{rnd.integers(0, 10**6)}"
+        texts[i] = " ".join(own)
+    chain = words(300)
+    for i in range(200, 240):  # each near the next two or so, the ends far apart
+        texts[i] = " ".join(chain[(i - 200) * 4 : (i - 200) * 4 + 100])
+    texts |= {i: " ".join(words(60)) for i in range(240, 400)}
+    want, links = _components(texts)
+    assert len(links) > 4000 and want[239] == 200
+    trace = []
+    got = near_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), Scratch(spark), trace=trace)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+    assert sum(t[1] for t in trace) < len(links) / 2
+
+
+def test_jaccard_nulls_names_and_long_texts(spark):
+    """A null id has the component of an equal text, or none; other columns are no matter; a word and a text of megabytes."""
+    a, long = WORDS, " ".join(f"word{i}" for i in range(300_000))
+    rows = [(None, a, 1), (7, a, 2), (None, "only here are some words", 3), (8, long, 4), (9, long + " more", 5), (10, "z" * 2_000_000, 6), (11, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in near_classes(df, Scratch(spark)).collect())
+    assert got == [(0, 1, 0), (0, 9, 7), (7, 9, 7), (8, 299_996, 8), (9, 299_997, 8), (10, 1, 10), (11, 0, 11)]
+
+
 def test_jaccard_frequent_shingles(spark):
     """Shingles dealt by class give the classes that shingles dealt by range give, and those of brute force."""
     import random
