@@ -95,46 +95,59 @@ def _own_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(rest.any(1), a[at, one].astype(np.int64) * 65536 + a[at, two], -1)
 
 
-def _links(m: np.ndarray, pivots: np.ndarray, side: np.ndarray, key: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), both ways, of linked rows that are of two chunks (or of the one there is) and that count under ``key``."""
-    left, right = (np.flatnonzero(side), np.flatnonzero(~side)) if side.any() and not side.all() else (np.arange(len(m)), np.arange(len(m)))
+def _links(m: np.ndarray, pivots: np.ndarray, side: np.ndarray | None, key: int, cosine: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs (i, j), both ways, of linked rows that count under ``key``; with ``side``, of a row on it and one that isn't."""
+    left, right = (np.arange(len(m)),) * 2 if side is None else (np.flatnonzero(side), np.flatnonzero(~side))
     found = []
     for k in range(0, len(left), _STRIP):
-        i, j = np.nonzero(m[left[k : k + _STRIP]] @ m[right].T >= cosine)
+        near = m[left[k : k + _STRIP]] @ m[right].T >= cosine
+        if np.count_nonzero(near) <= (len(near) if side is None else 0):  # each with itself at most
+            continue
+        i, j = np.nonzero(near)
         i, j = left[k + i], right[j]
         own = i != j
         i, j = i[own], j[own]
         own = _own_key(pivots[i], pivots[j]) == key
         found.append((i[own], j[own]))
+    if not found:
+        return None
     i, j = (np.concatenate(c) for c in zip(*found, strict=True))
-    return (i, j) if left is right or len(left) == len(m) else (np.concatenate([i, j]), np.concatenate([j, i]))
+    return (i, j) if side is None else (np.concatenate([i, j]), np.concatenate([j, i]))
 
 
 def _comparer(cosine: float):
     """(rid, links, root) of the vectors with links in each comparison of two chunks."""
     names = ["label", "dim", "key", "b1", "b2", "c", "rid", "v", "copies", "pivots"]
 
-    def compared(t: pa.RecordBatch, first: int, last: int) -> pa.RecordBatch | None:
-        dim, key, b1, b2 = (t.column(k)[first].as_py() for k in (1, 2, 3, 4))
-        rows = np.arange(first, last)
-        c, ids, copies = (t.column(k).to_numpy()[first:last] for k in (5, 6, 8))
-        if b1 != b2 and (c == c[0]).all():
-            return None
-        pivots = np.sort(_rows(t.column(9), rows, len(t.column(9)[first])), axis=1)
-        i, j = _links(_unit(_rows(t.column(7), rows, dim)), pivots, c == b1 if b1 != b2 else np.zeros(len(rows), bool), key, cosine)
-        if not len(i):
-            return None
-        links = np.zeros(len(rows), np.int64)
-        np.add.at(links, i, copies[j])
-        root = np.arange(len(rows))
-        while True:
-            new = root.copy()
-            np.minimum.at(new, i, root[j])
-            if (new == root).all():
-                break
-            root = new
-        at = np.unique(i)
-        return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at]), pa.array(ids[root[at]])], names=["rid", "links", "root"])
+    def groups(t: pa.RecordBatch, bounds: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        dim, key, b1, b2, c, ids, copies = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 6, 8))
+        rows = np.arange(t.num_rows)
+        pivots = np.sort(_rows(t.column(9), rows, len(t.column(9)[0])), axis=1)
+        units, place = {}, np.zeros(t.num_rows, np.int64)  # the vectors of each length, and where a row's is
+        for d in np.unique(dim).tolist():
+            own = rows[dim == d]
+            units[d], place[own] = _unit(_rows(t.column(7), own, d)), np.arange(len(own))
+        for first, last in bounds:
+            many, own = last - first, slice(first, last)
+            side = None if b1[first] == b2[first] else c[own] == b1[first]
+            if many < 2 or (side is not None and side.all() | ~side.any()):
+                continue
+            at = place[first]
+            pairs = _links(units[int(dim[first])][at : at + many], pivots[own], side, int(key[first]), cosine)
+            if pairs is None or not len(pairs[0]):
+                continue
+            i, j = pairs
+            links = np.zeros(many, np.int64)
+            np.add.at(links, i, copies[own][j])
+            root = np.arange(many)
+            while True:
+                new = root.copy()
+                np.minimum.at(new, i, root[j])
+                if (new == root).all():
+                    break
+                root = new
+            at = np.unique(i)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own][at]), pa.array(links[at]), pa.array(ids[own][root[at]])], names=["rid", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: list[pa.RecordBatch] = []
@@ -148,9 +161,8 @@ def _comparer(cosine: float):
             new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
             ends = np.append(new[1:], t.num_rows)
             done = len(new) if batch is None else len(new) - 1  # the last one may go on in the next batch
-            for first, last in zip(new[:done].tolist(), ends[:done].tolist(), strict=True):
-                if last - first > 1 and (out := compared(t, first, last)) is not None:
-                    yield out
+            if done:
+                yield from groups(t.slice(0, int(ends[done - 1])), list(zip(new[:done].tolist(), ends[:done].tolist(), strict=True)))
             tail = [] if batch is None else [t.slice(int(new[-1]))]
 
     return run
