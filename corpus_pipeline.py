@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages over documents, each written and read again."""
+"""The corpus pipeline: five stages over documents, each written and read again.
+
+Null ids, repeated rows, null and empty texts and empty tables go through every
+stage; what each does with them is said there. Columns other than doc_id and
+text are carried as they are.
+"""
 
 from __future__ import annotations
 
@@ -15,13 +20,20 @@ from graphloom.llm.quality import fit_quality, score_quality
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go (score under 0.3); a null text is scored as an empty one.
+
+    Without labels every score is 0.5, and all stay.
+    """
     forest = fit_quality(docs, Q.table(spark, sf_dir, "labels"))
     whole = docs.select(F.struct("*").alias("doc"), F.col("text").alias("text"))
     return score_quality(whole, forest).where("predicted = 1").select("doc.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Three lines in a row that stand earlier too are cut out; every document stays, if with an empty text.
+
+    A null text stays null; rows that repeat an id and a text are cut alike.
+    """
     return dedup_lines(docs)
 
 
@@ -42,10 +54,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go of whose words a twentieth or more lie in passages of the benchmark; without words none does."""
     return drop_contaminated(docs, Q.table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digests of the tokens of each text, and of what they decode to, in place of the text; null is empty."""
     return Q.bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
@@ -59,5 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = scan.Scratch(spark)
     docs = Q.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir))
+        before, docs = docs, scratch.save(stage(spark, docs, sf_dir))
+        scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
