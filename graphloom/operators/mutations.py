@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import edges as E
 from graphloom.operators.aggregate import duplicate_values
+from graphloom.operators.tables import Tables
 from graphloom.sources.datasets import numbered
 from graphloom.sources.schema import NodeType, validate
 from graphloom.streaming import changes as C
@@ -63,8 +64,8 @@ def create_nodes(requests: DataFrame, kind: NodeType, existing: DataFrame, by: l
     there are. What is rejected uses no id.
     """
     first = existing.where(F.col("type") == kind.name).agg(F.max("id")).first()[0]
-    checked = validate(requests, kind)
-    checked = _taken(checked.withColumn("id", F.monotonically_increasing_id() - F.lit(1 << 62)), kind, existing, F.lit(-1))
+    told = Tables(requests.sparkSession).save(validate(requests, kind).withColumn("id", F.monotonically_increasing_id()))
+    checked = _taken(told, kind, existing, F.lit(-1))
     good = numbered(checked.where(F.size("errors") == 0).drop("id"), by, "__n")
     made = good.withColumn("id", F.col("__n") + (0 if first is None else first + 1)).withColumn("type", F.lit(kind.name)).withColumn("version", F.col("__n") + version)
     return Written(_entries(made, "NodeCreate", site, ts, _props(kind, made.columns)), checked.where(F.size("errors") > 0).drop("id"))

@@ -52,8 +52,8 @@ def _step(hop: dict, edges: DataFrame, nodes: Nodes | None, frontier: DataFrame,
     if hop.get("top"):
         own = E.top_edges(own, hop["top"], hop.get("order"))
     facets = [F.col(c).cast("string").alias(c) for c in hop.get("facets", [])]
-    has = lambda c: F.col(c).cast("string") if c in own.columns else F.lit(None).cast("string")
-    step = F.struct(F.col("label"), has("sort_key").alias("sort_key"), F.col("dst_type").alias("node_type"), F.col("dst_id").alias("node_id"), F.to_json(F.struct(*facets)).alias("facets") if facets else F.lit(None).cast("string").alias("facets"))
+    key = F.col("sort_key") if "sort_key" in own.columns else F.lit(None).cast("string")
+    step = F.struct(F.col("label"), key.isNull().alias("unkeyed"), key.alias("sort_key"), F.col("dst_type").alias("node_type"), F.col("dst_id").alias("node_id"), F.to_json(F.struct(*facets)).alias("facets") if facets else F.lit(None).cast("string").alias("facets"))
     near = own.select(F.col("src_type").alias("node_type"), F.col("src_id").alias("node_id"), F.struct(F.col("dst_type").alias("node_type"), F.col("dst_id").alias("node_id")).alias("to"), step.alias("step"))
     moved = frontier.join(near, NODE).select("to.*", F.concat("path", F.array("step")).alias("path"))
     if cel := hop.get("node_filter"):
@@ -66,13 +66,15 @@ def traverse(start: DataFrame, edges: DataFrame, hops: list[dict], nodes: Nodes
 
     Dead ends are no results. ``resume`` goes on from where an earlier, shallower
     traversal with the same hops stopped. ``max_results`` takes the first paths in
-    order. Paths are arrays of (label, sort_key, node_type, node_id, facets), the
-    start's own entry first, without a label.
+    order. Paths are arrays of (label, unkeyed, sort_key, node_type, node_id,
+    facets), the start's own entry first, without a label; edges without a sort
+    key come behind those with one.
     """
     tables = tables or Tables(edges.sparkSession)
     none = F.lit(None).cast("string")
     if resume is None:
-        own = F.struct(none.alias("label"), none.alias("sort_key"), F.col("node_type"), F.col("node_id"), none.alias("facets"))
+        kind = edges.schema["sort_key"].dataType if "sort_key" in edges.columns else "string"
+        own = F.struct(none.alias("label"), F.lit(True).alias("unkeyed"), F.lit(None).cast(kind).alias("sort_key"), F.col("node_type"), F.col("node_id"), none.alias("facets"))
         front = tables.save(start.select(*NODE).distinct().select(*NODE, F.array(own).alias("path")))
         seen, depth = front.select(*NODE), 0
     else:

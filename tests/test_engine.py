@@ -149,6 +149,17 @@ def test_traverse_bounds(spark, social):
     assert got == {(0, 0), (1, 1), (2, 1), (3, 2), (4, 2)}
 
 
+def test_first_arrival_by_sort_key(spark):
+    """Of paths of one length the first counts: by label, sort key (as a number, those without one last), far end."""
+    rows = [("N", 0, "e", "N", 1, 10), ("N", 0, "e", "N", 2, 9), ("N", 0, "e", "N", 3, None), ("N", 1, "e", "N", 7, 1), ("N", 2, "e", "N", 7, 1), ("N", 3, "e", "N", 7, 1), ("N", 1, "e", "N", 8, 1), ("N", 3, "e", "N", 8, 1), ("N", 3, "d", "N", 9, None)]
+    edges = spark.createDataFrame(rows, "src_type string, src_id long, label string, dst_type string, dst_id long, sort_key int")
+    start = spark.createDataFrame([("N", 0)], "node_type string, node_id long")
+    got = W.traverse(start, edges, [{}, {}]).paths
+    assert {r.node_id: r.path[1].node_id for r in got.collect()} == {7: 2, 8: 1, 9: 3}
+    assert [r.node_id for r in W.traverse(start, edges, [{}], max_results=2).paths.orderBy("path").collect()] == [2, 1]
+    assert {r.node_id for r in W.traverse(start, edges, [{"top": 1}, {"facets": ["sort_key"]}]).paths.collect()} == {7}
+
+
 def test_loops_and_parallel_edges(spark):
     rows = [("N", 1, "e", "N", 2, 10), ("N", 1, "e", "N", 2, 11), ("N", 1, "e", "N", 1, 12)]
     edges = spark.createDataFrame(rows, "src_type string, src_id long, label string, dst_type string, dst_id long, edge_id long")
