@@ -82,7 +82,8 @@ def _hashes(least: int):
     return run
 
 
-_PLACES = "doc_ids array<bigint>, rows array<bigint>, ats array<int>, befores array<int>"
+#: A place that has some bytes: document (and whether its id is null), row, offset, words before it.
+_PLACE = np.dtype([("null", "u1"), ("doc", "<i8"), ("row", "<i8"), ("at", "<i4"), ("before", "<i4")])
 
 
 def _contexts(least: int):
@@ -113,10 +114,15 @@ def _contexts(least: int):
                 order = np.argsort(code, kind="stable")
                 many = np.bincount(code, minlength=len(coded.dictionary))
                 head = order[np.cumsum(many) - many]
-                listed = lambda values: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), values)
-                rows = pa.array((first + doc)[order])
-                places = [listed(batch.column(0).take(rows)), listed(batch.column(1).take(rows)), listed(pa.array((at - s.bounds[doc])[order].astype(np.int32))), listed(pa.array(before[order].astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays([pa.array(h[head]), *places, coded.dictionary], names=["h", "doc_ids", "rows", "ats", "befores", "body"])
+                ids, rows = batch.column(0), first + doc[order]
+                places = np.empty(len(order), _PLACE)
+                places["null"] = ids.is_null().to_numpy(zero_copy_only=False)[rows]
+                places["doc"] = pc.fill_null(ids, 0).to_numpy()[rows]
+                places["row"] = batch.column(1).to_numpy()[rows]
+                places["at"], places["before"] = (at - s.bounds[doc])[order], before[order]
+                ends = pa.py_buffer((np.append(0, np.cumsum(many)) * _PLACE.itemsize).astype(np.int32))
+                packed = pa.Array.from_buffers(pa.binary(), len(many), [None, ends, pa.py_buffer(places.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(h[head]), packed, coded.dictionary], names=["h", "places", "body"])
 
     return run
 
@@ -130,16 +136,17 @@ def _compare(least: int):
 
     def close(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
-        lists = {c: pa.concat_arrays([x for x in t.column(c).chunks]) for c in ("doc_ids", "rows", "ats", "befores")}
-        of = np.repeat(np.arange(t.num_rows), np.diff(lists["rows"].offsets.to_numpy()))
-        doc_ids, rows_of, at, before = (lists[c].flatten() for c in lists)
-        h, row_of, at, before = (x.to_numpy() for x in (t.column("h"), rows_of, at, before))
-        h = h[of]
+        packed = pa.concat_arrays(t.column("places").chunks)
+        ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+        places = np.frombuffer(packed.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(_PLACE)
+        of = np.repeat(np.arange(t.num_rows), np.diff(ends) // _PLACE.itemsize)
+        h = t.column("h").to_numpy()[of]
         # by anchor, and then as documents are ordered
-        order = np.lexsort((at, row_of, pc.fill_null(doc_ids, 0).to_numpy(), doc_ids.is_null().to_numpy(zero_copy_only=False), h))
-        of, h, row_of, at, before = of[order], h[order], row_of[order], at[order], before[order]
-        new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in (h, row_of, at)], axis=0)]))
-        of, at, before, doc_ids, rows_of = of[new], at[new].astype(np.int64), before[new], doc_ids.take(pa.array(order[new])), pa.array(row_of[new])
+        order = np.lexsort((places["at"], places["row"], places["doc"], places["null"], h))
+        of, h, places = of[order], h[order], places[order]
+        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (places["row"][1:] != places["row"][:-1]) | (places["at"][1:] != places["at"][:-1])]))
+        of, places = of[new], places[new]
+        at, before = places["at"].astype(np.int64), places["before"].astype(np.int64)
         # Equal bodies are hashed once; the dictionary has them in the order of their first rows.
         coded = pa.concat_arrays(t.column("body").chunks).dictionary_encode()
         kinds, head, code, copies = np.unique(coded.indices.to_numpy()[of], return_index=True, return_inverse=True, return_counts=True)
@@ -168,8 +175,9 @@ def _compare(least: int):
         begins[2:] = np.cumsum(scan.NONSPACE[data[1:]] & ~scan.NONSPACE[data[:-1]] & ~np.isin(np.arange(1, len(data)), offs[:-1]))
         base = offs[code[rows]]
         words, at = before[rows] - begins[base], at[rows]
-        cols = [pa.chunked_array([x]) for x in (doc_ids.take(pa.array(rows)), rows_of.take(pa.array(rows)))] + [*[pa.chunked_array([pa.array(x)]) for x in (at + first, at + last, later, words + begins[base + first], words + begins[base + last + least])]]
-        yield from pa.Table.from_arrays(cols, names=names).to_batches()
+        doc_ids = pa.array(places["doc"][rows], mask=places["null"][rows] > 0)
+        cols = [doc_ids, *map(pa.array, (places["row"][rows], at + first, at + last, later, words + begins[base + first], words + begins[base + last + least]))]
+        yield pa.RecordBatch.from_arrays(cols, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -214,7 +222,7 @@ def _passages(docs: DataFrame, id_col: str, text: str, least: int, words: int) -
     # A table of its own, so that the join of a frequent hash with it is one that adaptive execution splits.
     often = scan.Scratch(docs.sparkSession).save(hashes.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
     wanted = hashes.select("row", "h").join(often, "h").groupBy("row").agg(F.collect_set("h").alias("wanted"))
-    found = named.join(wanted, "row").select("doc_id", "row", "text", "wanted").mapInArrow(_contexts(least), f"h bigint, {_PLACES}, body binary")
+    found = named.join(wanted, "row").select("doc_id", "row", "text", "wanted").mapInArrow(_contexts(least), "h bigint, places binary, body binary")
     dealt = found.repartition("h").sortWithinPartitions("h")
     spans = dealt.mapInArrow(_compare(least), "doc_id bigint, row bigint, first bigint, last bigint, later boolean, w0 bigint, w1 bigint")
     own = spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("first", "last", "later", "w0", "w1"))).alias("c"))
