@@ -29,7 +29,7 @@ NONE = 1 << 60
 
 
 def byte_letters() -> list[str]:
-    """The letter that stands for each byte: itself if printable, else one from U+0100 on."""
+    """Fixed values, by their rule: the letter that stands for each byte: itself if printable, else one from U+0100 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = [""] * 256
     for b in printable:
@@ -230,6 +230,7 @@ class Vocabulary:
             pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
             self.piece = regex.compile(pattern)
         else:
+            # fixed values: the split of the public byte-level format
             self.piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.chunk = regex.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
