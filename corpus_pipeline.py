@@ -63,7 +63,18 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return Q.bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
+def _small_batches(stage):
+    """The stage with Arrow batches of 16 MB at most, set in the session: its workers hold whole batches of text."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("bpe", encode)]
+STAGES = [(name, _small_batches(stage)) for name, stage in STAGES]
 
 #: The classifier can't be written in SQL.
 ORACLE_SQL = None

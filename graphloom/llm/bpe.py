@@ -212,7 +212,7 @@ KEPT = 64
 class Vocabulary:
     """One vocabulary file. ``word_end``: lower-cased words with a word end; else byte-level with leading spaces."""
 
-    def __init__(self, spec: dict, cache: int = 400_000):
+    def __init__(self, spec: dict, cache: int = 250_000):
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.word_end: str = model.get("end_of_word_suffix") or ""

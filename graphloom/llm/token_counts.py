@@ -26,7 +26,7 @@ from graphloom.llm.bpe import KEPT, Vocabulary
 
 
 class PrefixCounter:
-    def __init__(self, vocab: Vocabulary, bound: int = 600_000):
+    def __init__(self, vocab: Vocabulary, bound: int = 400_000):
         if vocab.word_end:
             raise ValueError("prefix counts are for byte-level vocabularies")
         self.vocab, self.bound = vocab, bound
