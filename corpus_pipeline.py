@@ -73,8 +73,7 @@ def _small_batches(stage):
     return run
 
 
-STAGES = [("quality", quality), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("bpe", encode)]
-STAGES = [(name, _small_batches(stage)) for name, stage in STAGES]
+STAGES = [(name, _small_batches(stage)) for name, stage in (("quality", quality), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("bpe", encode))]
 
 #: The classifier can't be written in SQL.
 ORACLE_SQL = None

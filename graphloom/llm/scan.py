@@ -240,6 +240,9 @@ def append_columns(df: DataFrame, text: str, schema: str | T.StructType, make: C
                 made = work(batch.column(len(names)))
                 made = [x if isinstance(x, pa.Array) and x.type == k else x.cast(k) if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], names=wide)
+                del made
+            del batch
+            pa.default_memory_pool().release_unused()  # the worker may live on, idle
 
     quoted = [F.col(f"`{c}`") for c in names]
     return df.select(*quoted, F.col(f"`{text}`").cast("string").alias(source)).mapInArrow(run, out)
