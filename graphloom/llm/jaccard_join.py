@@ -261,7 +261,7 @@ def _indexed(percent: int, orders: int, step: int = 2000):
                 yield made(t[i:j], o[i:j], n[i:j], df[i:j])
 
     columns = ["f1 bigint, n bigint, set array<bigint>", *[f"p{o} array<bigint>" for o in range(orders)], "typical double", *[f"w{i} bigint" for i in range(LONGS)]]
-    return run, ", ".join(columns)
+    return scan.tidy(run), ", ".join(columns)
 
 
 class _Candidates:
@@ -319,14 +319,14 @@ def near_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     ``trace`` gets (round, pairs named, candidates, links) of each round.
     """
     named = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    sized = scratch.save(named.mapInArrow(_sizes, "doc_id bigint, n bigint, f1 bigint, f2 bigint"))
+    sized = scratch.save(named.mapInArrow(scan.tidy(_sizes), "doc_id bigint, n bigint, f1 bigint, f2 bigint"))
     total = sized.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, int(total // range_tokens) + 1)
     # A table of its own, so that the join of a large class with it is one that adaptive execution splits.
     classes = scratch.save(sized.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
     heavy, counts = frequent_tokens(named, classes, sample, share, most)
-    postings = named.mapInArrow(_postings(buckets, heavy), "bucket int, tokens binary, owners binary, sizes binary, ns binary")
-    shared = postings.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(buckets, heavy, counts, sized.count()), "part int, tokens binary, owners binary, sizes binary, ns binary, dfs binary")
+    postings = named.mapInArrow(scan.tidy(_postings(buckets, heavy)), "bucket int, tokens binary, owners binary, sizes binary, ns binary")
+    shared = postings.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(scan.tidy(_shared(buckets, heavy, counts, sized.count())), "part int, tokens binary, owners binary, sizes binary, ns binary, dfs binary")
     indexed = shared.repartition(2 * buckets, "part").sortWithinPartitions("part").mapInArrow(*_indexed(percent, orders))
     live = scratch.save(indexed.join(classes.where("rep IS NOT NULL").select("f1", "rep"), "f1"), batch_bytes=4 << 20)
     cand = _Candidates(live, percent, orders)

@@ -59,7 +59,7 @@ def line_windows(docs: DataFrame, id_col: str, text: str, size: int = 3) -> Data
 
     body = F.col(f"`{text}`").cast("string")
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(body).alias("row"), body.alias("text"))
-    return named.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, row bigint, pos int, h1 bigint, h2 bigint")
+    return named.mapInArrow(scan.tidy(run), f"id {docs.schema[id_col].dataType.simpleString()}, row bigint, pos int, h1 bigint, h2 bigint")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
@@ -103,4 +103,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", siz
             yield pa.RecordBatch.from_arrays(columns, names=wide)
 
     quoted = [F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in names]
-    return docs.join(gone, same, "left").select(*quoted, "__gone_at").mapInArrow(run, T.StructType([*fields, *more]))
+    return docs.join(gone, same, "left").select(*quoted, "__gone_at").mapInArrow(scan.tidy(run), T.StructType([*fields, *more]))

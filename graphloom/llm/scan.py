@@ -7,6 +7,7 @@ so working memory is some 60 bytes per byte of the slice.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -216,6 +217,23 @@ def list_array(values, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
+def give_back() -> None:
+    """Returns free memory to the system: a Python worker lives on, idle, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # where the C library has it
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for mapInArrow, with its memory given back at the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def append_columns(df: DataFrame, text: str, schema: str | T.StructType, make: Callable[[], Callable[[pa.Array], list]], keep: list[str] | None = None) -> DataFrame:
     """``df`` (its columns ``keep``, or all) and the columns of ``schema`` computed from each text.
 
@@ -242,7 +260,7 @@ def append_columns(df: DataFrame, text: str, schema: str | T.StructType, make: C
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], names=wide)
                 del made
             del batch
-            pa.default_memory_pool().release_unused()  # the worker may live on, idle
+            give_back()
 
     quoted = [F.col(f"`{c}`") for c in names]
     return df.select(*quoted, F.col(f"`{text}`").cast("string").alias(source)).mapInArrow(run, out)
